@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstone.llm import sql
+from quillstone.llm import language, sql
+from quillstone.llm.decontaminate import contamination, items_digest
+from quillstone.llm.media import audio_features
 from quillstone.llm.near_dedup import near_duplicates
 from quillstone.sources import table
 
@@ -17,9 +20,42 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op5_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(language.fold("doc_id", 5) != 0))
+    return language.predict(docs, model).select(
+        "doc_id", (language.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op7_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), "contaminated"
+    )
+
+
+def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio_features(table(spark, sf_dir, "documents"))
+    size = F.length("payload").cast("long")
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        size.alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("right(payload, 16)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", "frames", F.size("segments"), F.sha2("tensors", 256)).alias("feature"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op5_bitmask_language_id": op5_bitmask_language_id,
+        "op7_prefix_filter_decontamination": op7_prefix_filter_decontamination,
+        "op10_audio_features": op10_audio_features,
     }
 
 

@@ -27,6 +27,34 @@ SELECT doc_id, n::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coa
 FROM sizes LEFT JOIN classes ON sizes.k = classes.k AND n > 0 LEFT JOIN comp USING (rep)
 """
 
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7 = f"""
+WITH iw AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark),
+wins AS (
+  SELECT item_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 10 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i:i + 9], ' ')) END) AS g,
+    least(len(ws), 10) AS n
+  FROM iw
+),
+grams AS (SELECT g, n, list(DISTINCT item_id) AS items FROM wins GROUP BY g, n),
+dw AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+spots AS (
+  SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM dw, (SELECT DISTINCT n FROM grams))
+),
+hits AS (SELECT doc_id, s, p.n, items FROM spots p JOIN grams ON p.g = grams.g AND p.n = grams.n),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, unnest(items)::VARCHAR AS i FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
 ORACLES = {
+    "op7_prefix_filter_decontamination": OP7,
     "op1_minhash_near_dedup": OP1,
 }
