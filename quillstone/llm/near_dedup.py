@@ -6,8 +6,9 @@ occupied ones along a fixed random order of their own (optimal densification). B
 give bucket keys. Documents with equal sets are one class; in a bucket every class is paired
 with the least one only (a star), and each pair is confirmed on the full sets. Pairs of one
 bucket that the star left in different components are then confirmed as well, apart from those
-that set sizes or the triangle inequality of the Jaccard distance rule out, so that a star loses
-no link that the bucket holds.
+that set sizes, the triangle inequality of the Jaccard distance or the sets' parity sketches rule
+out, so that a star loses no link that the bucket holds. A parity sketch flips one bit for each
+shingle: two sets differ in as many shingles as their sketches in bits, at least.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from quillstone.llm.scratch import Scratch
 
 U64 = np.uint64
 
+#: Words of 64 bits in a parity sketch.
+ODD = 16
+
 #: Ids that may be broadcast (16 bytes each) to pick texts out of a scan; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -62,15 +66,22 @@ def signature(own: np.ndarray, bins: int, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set."""
+    bits = np.bincount((own & U64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sketcher(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = borrow_order(bands * rows)
         weights = tb.stream(23, rows) | U64(1)
         salt = tb.stream(25, bands)
         for batch in batches:
-            n, high, low, keys = [], [], [], []
+            n, high, low, keys, odd = [], [], [], [], []
             for own in shingle_sets(batch.column(1), words):
                 n.append(len(own))
+                odd.append(parity(own))
                 high.append(np.bitwise_xor.reduce(tb.mix(own + U64(1))) if len(own) else U64(0))
                 low.append(np.add.reduce(tb.mix(own ^ U64(0x5851F42D4C957F2D))) if len(own) else U64(0))
                 if len(own):
@@ -85,8 +96,9 @@ def _sketcher(words: int, bands: int, rows: int):
                     pa.array(np.array(high, U64).view(np.int64)),
                     pa.array(np.array(low, U64).view(np.int64)),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(odd, pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "high", "low", "bands"],
+                names=["id", "n", "high", "low", "bands", "odd"],
             )
 
     return run
@@ -171,13 +183,15 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch.save(
         texts.mapInArrow(
-            _sketcher(words, bands, rows), "id long, n long, high long, low long, bands array<long>"
+            _sketcher(words, bands, rows), "id long, n long, high long, low long, bands array<long>, odd array<long>"
         ),
         "sketch",
     )
     known = sketch.where("n > 0 and id is not null")
     classes = scratch.save(
-        known.groupBy("high", "low", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes"
+        known.groupBy("high", "low", "n")
+        .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
+        "classes",
     )
     entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     centers = (
@@ -206,7 +220,7 @@ def near_duplicates(
     links = overlap.where(linked).select("a", "b")
     first = components(links, scratch)
 
-    rest = scratch.save(_left_by_stars(members, overlap, first, alike, percent), "rest")
+    rest = scratch.save(_left_by_stars(members, overlap, first, classes, alike, percent), "rest")
     more = rest.join(sets.shared(rest), ["a", "b"]).withColumn("total", F.col("na") + F.col("nb") - F.col("shared"))
     # A class ties the ids of its copies together, and so an id of several texts its classes.
     copies = known.join(classes.select("high", "low", "n", "rep"), ["high", "low", "n"]).where("id != rep")
@@ -226,7 +240,9 @@ def near_duplicates(
     )
 
 
-def _left_by_stars(members: DataFrame, overlap: DataFrame, first: DataFrame, alike, percent: int) -> DataFrame:
+def _left_by_stars(
+    members: DataFrame, overlap: DataFrame, first: DataFrame, classes: DataFrame, alike, percent: int
+) -> DataFrame:
     """Pairs within a bucket that stars left in different components and that no bound rules out."""
     share = overlap.select(
         F.col("a").alias("center"), F.col("b").alias("rep"), (F.col("shared") / F.col("total")).alias("s")
@@ -243,11 +259,19 @@ def _left_by_stars(members: DataFrame, overlap: DataFrame, first: DataFrame, ali
             F.coalesce("center_comp", "center").alias("center_comp"),
         )
     )
-    outside = placed.where("comp != center_comp").select(*(F.col(c).alias(f"{c}_1") for c in ("bucket", "rep", "n", "s", "comp")))
+    apart = placed.where("comp != center_comp")
+    sketch = [F.col("odd")[k].alias(f"o{k}") for k in range(ODD)]
+    odd = classes.select("rep", *sketch)
+    # Only buckets with someone apart are looked at again.
+    placed = placed.join(apart.select("bucket").distinct(), "bucket", "left_semi").join(odd, "rep")
+    apart = placed.where("comp != center_comp")
+    outside = apart.select(*(F.col(c).alias(f"{c}_1") for c in apart.columns))
+    differ = sum((F.bit_count(F.col(f"o{k}").bitwiseXOR(F.col(f"o{k}_1"))) for k in range(1, ODD)), F.bit_count(F.col("o0").bitwiseXOR(F.col("o0_1"))))
     slack = 1 - percent / 100 + 1e-9
     pairs = outside.join(placed, F.col("bucket_1") == F.col("bucket")).where(
         (F.col("comp") != F.col("comp_1"))
         & alike(F.col("n"), F.col("n_1"))
+        & (differ * (100 + percent) <= (F.col("n") + F.col("n_1")) * (100 - percent))
         # Sizes already rule a pair out with its center where s is null: no bound then.
         & F.coalesce(F.abs(F.col("s") - F.col("s_1")) <= slack, F.lit(True))
     )
