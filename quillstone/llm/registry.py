@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import language, sql
+from quillstone.llm import language, sql, toxicity
 from quillstone.llm.decontaminate import contamination, items_digest
 from quillstone.llm.media import audio_features
 from quillstone.llm.near_dedup import near_duplicates
@@ -28,6 +28,15 @@ def op5_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = language.fold("doc_id", 3) != 1
+    model = toxicity.train(docs.where(learn), labels.where(learn))
+    return toxicity.score(docs, model).select(
+        "doc_id", (language.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted"
+    )
+
+
 def op7_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -54,6 +63,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op5_bitmask_language_id": op5_bitmask_language_id,
+        "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
         "op7_prefix_filter_decontamination": op7_prefix_filter_decontamination,
         "op10_audio_features": op10_audio_features,
     }
