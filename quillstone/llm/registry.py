@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import language, sql, toxicity
+from quillstone.llm import language, packing, sql, toxicity
 from quillstone.llm.decontaminate import contamination, items_digest
 from quillstone.llm.media import audio_features
 from quillstone.llm.near_dedup import near_duplicates
 from quillstone.sources import table
 
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of an installed vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -44,6 +53,12 @@ def op7_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     )
 
 
+def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = audio_features(table(spark, sf_dir, "documents"))
     size = F.length("payload").cast("long")
@@ -65,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op5_bitmask_language_id": op5_bitmask_language_id,
         "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
         "op7_prefix_filter_decontamination": op7_prefix_filter_decontamination,
+        "op8_pattern_packing": op8_pattern_packing,
         "op10_audio_features": op10_audio_features,
     }
 
