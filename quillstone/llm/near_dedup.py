@@ -3,12 +3,8 @@
 Each document's set of distinct word shingles is hashed once; the hash space is cut into bins
 and the least value of every bin kept (one-permutation hashing). Empty bins borrow from
 occupied ones along a fixed random order of their own (optimal densification). Bands of bins
-give bucket keys. Documents with equal sets are one class; in a bucket every class is paired
-with the least one only (a star), and each pair is confirmed on the full sets. Pairs of one
-bucket that the star left in different components are then confirmed as well, apart from those
-that set sizes, the triangle inequality of the Jaccard distance or the sets' parity sketches rule
-out, so that a star loses no link that the bucket holds. A parity sketch flips one bit for each
-shingle: two sets differ in as many shingles as their sketches in bits, at least.
+give bucket keys. Documents with equal sets are one class; the classes of a bucket are linked by stars,
+confirmed on the full sets (see ``stars``).
 """
 
 from __future__ import annotations
@@ -17,21 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import textblocks as tb
 from quillstone.llm.components import components
 from quillstone.llm.scratch import Scratch
+from quillstone.llm.stars import confirmed_links, pick
 
 U64 = np.uint64
 
 #: Words of 64 bits in a parity sketch.
 ODD = 16
 
-#: Ids that may be broadcast (16 bytes each) to pick texts out of a scan; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle, an empty one none."""
@@ -126,11 +120,6 @@ def _sharer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pick(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Rows of ``texts`` whose id is among ``ids``; ``n`` bounds how many those are."""
-    return texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
-
-
 class _Sets:
     """The full sets of classes that occur in some pair."""
 
@@ -173,7 +162,8 @@ def near_duplicates(
     of 6 bins a pair at 0.8 is missed by all buckets with a probability of 3e-6, a closer one less.
 
     Texts that are null or have no words have empty sets and are linked with nothing. Repeated
-    rows and rows that share an id get the same component. A row with a null id stands alone:
+    rows get the same component, and so do different texts under one id, whose links are looked
+    for from one of the texts. A row with a null id stands alone:
     its component is null and it is kept. Further columns of ``docs`` are ignored; an empty table
     gives an empty result.
     """
@@ -193,41 +183,11 @@ def near_duplicates(
         .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
         "classes",
     )
-    entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    centers = (
-        entries.groupBy("bucket")
-        .agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1")
-        .select("bucket", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
-    )
-    members = scratch.save(entries.join(centers, "bucket"), "members")
-
-    def alike(a: Column, b: Column) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    sets = _Sets(texts, words, scratch)
-    star = scratch.save(
-        members.where((F.col("rep") != F.col("center")) & alike(F.col("n"), F.col("center_n")))
-        .groupBy(F.col("center").alias("a"), F.col("rep").alias("b"))
-        .agg(F.first("center_n").alias("na"), F.first("n").alias("nb")),
-        "star",
-    )
-    overlap = scratch.save(
-        star.join(sets.shared(star), ["a", "b"]).withColumn("total", F.col("na") + F.col("nb") - F.col("shared")),
-        "overlap",
-    )
-    linked = F.col("shared") * 100 >= F.col("total") * percent
-    links = overlap.where(linked).select("a", "b")
-    first = components(links, scratch)
-
-    rest = scratch.save(_left_by_stars(members, overlap, first, classes, alike, percent), "rest")
-    more = rest.join(sets.shared(rest), ["a", "b"]).withColumn("total", F.col("na") + F.col("nb") - F.col("shared"))
+    links = confirmed_links(classes, _Sets(texts, words, scratch).shared, percent, ODD, scratch)
     # A class ties the ids of its copies together, and so an id of several texts its classes.
     copies = known.join(classes.select("high", "low", "n", "rep"), ["high", "low", "n"]).where("id != rep")
     every = components(
-        first.toDF("a", "b")
-        .unionByName(more.where(linked).select("a", "b"))
-        .unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()),
+        links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()),
         scratch,
     )
     out = sketch.join(every, sketch["id"] == every["node"], "left")
@@ -239,49 +199,3 @@ def near_duplicates(
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
 
-
-def _left_by_stars(
-    members: DataFrame, overlap: DataFrame, first: DataFrame, classes: DataFrame, alike, percent: int
-) -> DataFrame:
-    """Pairs within a bucket that stars left in different components and that no bound rules out."""
-    share = overlap.select(
-        F.col("a").alias("center"), F.col("b").alias("rep"), (F.col("shared") / F.col("total")).alias("s")
-    )
-    own = first.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    centers = first.select(F.col("node").alias("center"), F.col("component").alias("center_comp"))
-    placed = (
-        members.where("rep != center")
-        .join(share, ["center", "rep"], "left")
-        .join(own, "rep", "left")
-        .join(centers, "center", "left")
-        .select(
-            "bucket", "rep", "n", "s", F.coalesce("comp", "rep").alias("comp"),
-            F.coalesce("center_comp", "center").alias("center_comp"),
-        )
-    )
-    apart = placed.where("comp != center_comp")
-    sketch = [F.col("odd")[k].alias(f"o{k}") for k in range(ODD)]
-    odd = classes.select("rep", *sketch)
-    # Only buckets with someone apart are looked at again.
-    placed = placed.join(apart.select("bucket").distinct(), "bucket", "left_semi").join(odd, "rep")
-    apart = placed.where("comp != center_comp")
-    outside = apart.select(*(F.col(c).alias(f"{c}_1") for c in apart.columns))
-    differ = sum((F.bit_count(F.col(f"o{k}").bitwiseXOR(F.col(f"o{k}_1"))) for k in range(1, ODD)), F.bit_count(F.col("o0").bitwiseXOR(F.col("o0_1"))))
-    slack = 1 - percent / 100 + 1e-9
-    pairs = outside.join(placed, F.col("bucket_1") == F.col("bucket")).where(
-        (F.col("comp") != F.col("comp_1"))
-        & alike(F.col("n"), F.col("n_1"))
-        & (differ * (100 + percent) <= (F.col("n") + F.col("n_1")) * (100 - percent))
-        # Sizes already rule a pair out with its center where s is null: no bound then.
-        & F.coalesce(F.abs(F.col("s") - F.col("s_1")) <= slack, F.lit(True))
-    )
-    return (
-        pairs.select(
-            F.least("rep", "rep_1").alias("a"),
-            F.greatest("rep", "rep_1").alias("b"),
-            F.when(F.col("rep") < F.col("rep_1"), F.col("n")).otherwise(F.col("n_1")).alias("na"),
-            F.when(F.col("rep") < F.col("rep_1"), F.col("n_1")).otherwise(F.col("n")).alias("nb"),
-        )
-        .groupBy("a", "b")
-        .agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-    )

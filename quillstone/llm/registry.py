@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import language, packing, sql, toxicity
 from quillstone.llm.decontaminate import contamination, items_digest
+from quillstone.llm.line_dedup import deduplicate_lines
 from quillstone.llm.media import audio_features
 from quillstone.llm.near_dedup import near_duplicates
 from quillstone.sources import table
@@ -59,6 +60,12 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_kept", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = audio_features(table(spark, sf_dir, "documents"))
     size = F.length("payload").cast("long")
@@ -81,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
         "op7_prefix_filter_decontamination": op7_prefix_filter_decontamination,
         "op8_pattern_packing": op8_pattern_packing,
+        "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
         "op10_audio_features": op10_audio_features,
     }
 

@@ -54,7 +54,37 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP9 = """
+WITH RECURSIVE ls AS (
+  SELECT doc_id, s AS parts, unnest(s) AS line, unnest(range(len(s))) AS no
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)
+),
+full_lines AS (SELECT doc_id, no, line FROM ls WHERE trim(line, ' ' || chr(9) || chr(13)) != ''),
+classes AS (SELECT line, row_number() OVER (ORDER BY min((doc_id, no))) AS k, min((doc_id, no)) AS place FROM full_lines GROUP BY line),
+words AS (SELECT k, string_split(line, ' ') AS ws FROM classes),
+sets AS (
+  SELECT k, list_distinct(list_filter(list_transform(range(1, len(ws) + 1),
+    lambda i: left(array_to_string(ws[i:i + 11], ' '), 12)), lambda x: x != '')) AS s
+  FROM words
+),
+items AS (SELECT k, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT x.k AS a, y.k AS b, count(*) AS i, any_value(x.n) AS na, any_value(y.n) AS nb
+  FROM items x JOIN items y ON x.g = y.g AND x.k < y.k AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY ALL
+),
+links AS (SELECT a, b FROM shared WHERE 100 * i >= 80 * (na + nb - i)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, a AS b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+comp AS (SELECT a AS k, min(b) AS c FROM reach GROUP BY a),
+stays AS (SELECT s.line, f.place FROM classes s LEFT JOIN comp USING (k) JOIN classes f ON f.k = coalesce(c, s.k)),
+gone AS (SELECT doc_id, no FROM full_lines JOIN stays USING (line) WHERE (doc_id, no) != place)
+SELECT ls.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone.no IS NULL) AS n_kept,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY ls.no) FILTER (WHERE gone.no IS NULL), '')) AS text_sha256
+FROM ls LEFT JOIN gone ON ls.doc_id = gone.doc_id AND ls.no = gone.no GROUP BY ls.doc_id
+"""
+
 ORACLES = {
+    "op9_fuzzy_line_dedup": OP9,
     "op7_prefix_filter_decontamination": OP7,
     "op1_minhash_near_dedup": OP1,
 }
