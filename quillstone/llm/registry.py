@@ -12,6 +12,7 @@ from quillstone.llm.decontaminate import contamination, items_digest
 from quillstone.llm.line_dedup import deduplicate_lines
 from quillstone.llm.media import audio_features
 from quillstone.llm.near_dedup import near_duplicates
+from quillstone.llm.substring_dedup import remove_repeated_windows
 from quillstone.sources import table
 
 
@@ -30,6 +31,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op2_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op5_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(language.fold("doc_id", 5) != 0))
@@ -84,6 +89,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_doubling_substring_dedup": op2_doubling_substring_dedup,
         "op5_bitmask_language_id": op5_bitmask_language_id,
         "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
         "op7_prefix_filter_decontamination": op7_prefix_filter_decontamination,

@@ -83,7 +83,27 @@ SELECT ls.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone.no IS NULL) A
 FROM ls LEFT JOIN gone ON ls.doc_id = gone.doc_id AND ls.no = gone.no GROUP BY ls.doc_id
 """
 
+OP2 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wins AS (
+  SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)
+),
+starts AS (SELECT g, min((doc_id, s)) AS f FROM wins GROUP BY g),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM wins JOIN starts USING (g) WHERE (doc_id, s) != f
+),
+words AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t, count(gone.p) AS n
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY words.doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
+    "op2_doubling_substring_dedup": OP2,
     "op9_fuzzy_line_dedup": OP9,
     "op7_prefix_filter_decontamination": OP7,
     "op1_minhash_near_dedup": OP1,
