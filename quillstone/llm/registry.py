@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import language, packing, sql, toxicity
+from quillstone.llm.chat import format_chats
 from quillstone.llm.decontaminate import contamination, items_digest
 from quillstone.llm.line_dedup import deduplicate_lines
 from quillstone.llm.media import audio_features
@@ -35,6 +36,10 @@ def op2_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op3_snapshot_collapsed_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(language.fold("doc_id", 5) != 0))
@@ -90,6 +95,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_doubling_substring_dedup": op2_doubling_substring_dedup,
+        "op3_snapshot_collapsed_chats": op3_snapshot_collapsed_chats,
         "op5_bitmask_language_id": op5_bitmask_language_id,
         "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
         "op7_prefix_filter_decontamination": op7_prefix_filter_decontamination,

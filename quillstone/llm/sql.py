@@ -102,7 +102,23 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP3 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (
+  SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS q
+  FROM t GROUP BY conv_id
+),
+kept AS (
+  SELECT min(conv_id) AS conv_id, n, q, count(*) AS n_equal FROM c
+  WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.n > c.n AND d.q[1] = c.q[1] AND d.q[1:c.n] = c.q) GROUP BY n, q
+)
+SELECT conv_id, 0::BIGINT AS part, n AS n_turns, n_equal, array_to_string(list_transform(q,
+  lambda x: '<|im_start|>' || coalesce(x.r, '') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)), '') AS chat
+FROM kept
+"""
+
 ORACLES = {
+    "op3_snapshot_collapsed_chats": OP3,
     "op2_doubling_substring_dedup": OP2,
     "op9_fuzzy_line_dedup": OP9,
     "op7_prefix_filter_decontamination": OP7,
