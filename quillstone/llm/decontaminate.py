@@ -122,7 +122,7 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["word", "docs"])
 
-    counted = docs.select("text").mapInArrow(run, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    counted = docs.select("__text").mapInArrow(run, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
     return {int(vocabulary[r["word"]]): r["docs"] for r in counted.collect()}
 
 
@@ -130,9 +130,9 @@ def _finder(index: Index, began: bool, final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, spans, items = [], [], [], []
-            old_spans = batch.column("spans").to_pylist() if began else None
-            old_items = batch.column("items").to_pylist() if began else None
-            for at, to, found in tb.blocks(batch.column("text"), tb.ALNUM_WORDS, fold=True):
+            old_spans = batch.column("__spans").to_pylist() if began else None
+            old_items = batch.column("__items").to_pylist() if began else None
+            for at, to, found in tb.blocks(batch.column("__text"), tb.ALNUM_WORDS, fold=True):
                 start, window = index.hits(found)
                 end = start + index.length[window] if len(window) else start
                 of: dict[int, set[str]] = {}
@@ -164,7 +164,7 @@ def _finder(index: Index, began: bool, final: bool):
                                 own[d].append((s - int(found.first[d]), cut - int(found.first[d])))
                             s, d = max(s, cut), d + 1
                     spans += own
-            columns = {"id": batch.column("id")}
+            columns = {c: batch.column(c) for c in batch.schema.names if c not in ("__text", "__spans", "__items")}
             if final:
                 columns |= {
                     "n_words": pa.array(n_words, pa.int64()),
@@ -173,9 +173,9 @@ def _finder(index: Index, began: bool, final: bool):
                 }
             else:
                 columns |= {
-                    "text": batch.column("text"),
-                    "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                    "items": pa.array(items, pa.list_(pa.string())),
+                    "__text": batch.column("__text"),
+                    "__spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                    "__items": pa.array(items, pa.list_(pa.string())),
                 }
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
@@ -186,25 +186,26 @@ def contamination(
     docs: DataFrame,
     items: DataFrame,
     *,
-    id_col: str = "doc_id",
     text_col: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
     item_col: str = "item_id",
     width: int = 10,
     block_windows: int = 200_000,
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated) for each row of ``docs``.
+    """(*keep, n_words, n_hit, n_items, items, contaminated) for each row of ``docs``.
 
     Words are runs of a-z, digits and characters beyond ASCII, after lower-casing A-Z. Each run of
     ``width`` words of an item is a window, a shorter item is one window as a whole. A document's
     word is hit if it lies in any occurrence of a window; ``items`` are the sorted ids, as strings,
     of items with occurring windows. Null texts have no words; items without words or with a null
     id are ignored; rows of ``items`` that share an id are one item. Rows of ``docs`` are
-    judged one by one, so repeated rows and null ids keep their own results. Further columns are
-    ignored. Empty tables are allowed: without items nothing is hit.
+    judged one by one, so repeated rows and null ids keep their own results. Columns not in ``keep``
+    are ignored. Empty tables are allowed: without items nothing is hit.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
     windows = scratch.save(
         items.where(F.col(item_col).isNotNull())
         .select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("text"))
@@ -225,13 +226,13 @@ def contamination(
         vocabulary = np.unique(np.concatenate(index.words)) if index.words else np.zeros(0, U64)
         index.order(_frequencies(texts, vocabulary) if len(vocabulary) else {})
         final = block == n_blocks - 1
-        schema = "n_words long, n_hit long, items array<string>" if final else "text string, spans array<array<long>>, items array<string>"
-        current = current.mapInArrow(_finder(index, began, final), f"id {texts.schema['id'].dataType.simpleString()}, {schema}")
+        schema = "n_words long, n_hit long, items array<string>" if final else "__text string, __spans array<array<long>>, __items array<string>"
+        current = current.mapInArrow(_finder(index, began, final), f"{kinds}, {schema}")
         began = True
         if not final and block % STAGED == STAGED - 1:
             current = scratch.save(current, "spans")
     return current.select(
-        F.col("id").alias(id_col),
+        *keep,
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),

@@ -135,7 +135,7 @@ def _predictor(model: LanguageFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
-            data, offsets = tb.flat(batch.column("text"))
+            data, offsets = tb.flat(batch.column("__text"))
             pick, score = [], []
             for at, to in tb.slices(offsets):
                 own = offsets[at : to + 1]
@@ -155,26 +155,28 @@ def _predictor(model: LanguageFilter):
                 score.append(np.where(letters, np.clip(share, 0, 1), 0.0))
             pick = np.concatenate(pick) if pick else np.zeros(0, np.int64)
             score = np.concatenate(score) if score else np.zeros(0)
+            carried = [c for c in batch.schema.names if c != "__text"]
             yield pa.record_batch(
-                [batch.column("id"), pa.array(names[pick].tolist(), pa.string()), pa.array(score, pa.float64())],
-                names=["id", "lang_pred", "score"],
+                [*(batch.column(c) for c in carried), pa.array(names[pick].tolist(), pa.string()), pa.array(score, pa.float64())],
+                names=[*carried, "lang_pred", "score"],
             )
 
     return run
 
 
-def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of each row; only the text is looked at.
+def predict(
+    docs: DataFrame, model: LanguageFilter, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """(*keep, lang_pred, score) of each row; only the text is looked at.
 
     ``score`` is the corrected share of the text's n-grams that its language contains. A text that
     is null or without letters is ``und`` with score 0, and so is every text if nothing was
-    learnt; ties go to the language with more training rows, repeated rows get equal results. Very long texts
-    are read whole.
+    learnt; ties go to the language with more training rows, repeated rows get equal results. Very
+    long texts are read whole. Columns that are not in ``keep`` are ignored.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
-    out = texts.mapInArrow(_predictor(model), f"id {kind}, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(_predictor(model), f"{kinds}, lang_pred string, score double")
 
 
 def fold(id_col: str, n: int) -> Column:

@@ -27,6 +27,13 @@ from quillstone.llm.scratch import Scratch
 CACHED_WORDS = 200_000
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of an installed vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class WordIds:
     """Token ids by blank-separated stretches of text.
 
@@ -242,7 +249,7 @@ def _placer(plan: Plan, shift: int = 40):
 
 def pack(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096,
-    end_id: int = 1, quanta: tuple[int, ...] = (8, 16, 32), rank_rows: int = 500_000, with_ids: bool = False,
+    end_id: int = 1, quanta: tuple[int, ...] = (8, 16), rank_rows: int = 500_000, with_ids: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for each piece.
 

@@ -16,15 +16,6 @@ from quillstone.llm.near_dedup import near_duplicates
 from quillstone.llm.substring_dedup import remove_repeated_windows
 from quillstone.sources import table
 
-
-
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """Place of an installed vocabulary file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -65,7 +56,7 @@ def op7_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 
 
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).select(
+    return packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_path()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
