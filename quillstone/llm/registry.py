@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.llm import language, packing, sql, toxicity
 from quillstone.llm.chat import format_chats
 from quillstone.llm.decontaminate import contamination, items_digest
+from quillstone.llm.katz import katz_scores
 from quillstone.llm.line_dedup import deduplicate_lines
 from quillstone.llm.media import audio_features
 from quillstone.llm.near_dedup import near_duplicates
@@ -31,6 +32,12 @@ def op3_snapshot_collapsed_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language.fold("doc_id", 5) == 1
+    found = katz_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(language.fold("doc_id", 5) != 0))
@@ -87,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_doubling_substring_dedup": op2_doubling_substring_dedup,
         "op3_snapshot_collapsed_chats": op3_snapshot_collapsed_chats,
+        "op4_katz_backoff": op4_katz_backoff,
         "op5_bitmask_language_id": op5_bitmask_language_id,
         "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
         "op7_prefix_filter_decontamination": op7_prefix_filter_decontamination,
