@@ -10,7 +10,9 @@ sequences and offsets; pieces find their place by their rank among pieces of the
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from quillstone.llm import textblocks as tb
 from quillstone.llm.scratch import Scratch
 
-#: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 200_000
+#: Distinct words whose ids a worker keeps, in each of two generations.
+CACHED_WORDS = 300_000
+#: Bytes of text that are encoded at a time.
+ENCODED_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -34,6 +38,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+#: ASCII marks other than the apostrophe, which may begin a token of letters.
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def stretched(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Texts with the same tokens but fewer distinct stretches, and their new offsets.
+
+    A-Z in lower case, and a blank between a-z and a mark: the tokenizer does the first and parts
+    tokens there anyway. Texts that may hold a special token's string or a combining mark, whose
+    composition depends on case, are left alone.
+    """
+    raw = data.tobytes()
+    if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:
+        return raw, offsets
+    low = _LOWER[data]
+    cut = _LETTER[low[:-1]] & _MARK[low[1:]]
+    starts = offsets[1:-1]
+    cut[starts[(starts > 0) & (starts < len(low))] - 1] = False
+    at = np.flatnonzero(cut) + 1
+    return np.insert(low, at, 32).tobytes(), offsets + np.searchsorted(at, offsets)
+
+
 class WordIds:
     """Token ids by blank-separated stretches of text.
 
@@ -46,32 +77,32 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are laid out for little-endian machines with 32-bit integers")
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def encode(self, raw: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        parts = raw.split()
-        try:
-            return b"".join([self.known[p] for p in parts])
-        except KeyError:
-            pass
-        own = self.known
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.known) > CACHED_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        parts = [t.split() for t in texts]
+        fresh = set().union(*parts).difference(known)
         new = []
-        for p in {p for p in parts if p not in own}:
-            if p in self.older:
-                own[p] = self.older[p]
-            else:
+        for p in fresh:
+            ids = older.get(p)
+            if ids is None:
                 new.append(p)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                own[p] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([own[p] for p in parts])
-        if len(own) > CACHED_WORDS:
-            self.older, self.known = own, {}
-        return out
+            else:
+                known[p] = ids
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
+            known.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
+        look = known.__getitem__
+        return [b"".join(map(look, own)) for own in parts]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -90,11 +121,15 @@ def _cutter(path: str, end_id: int, length: int, with_ids: bool):
         for batch in batches:
             rows: list[tuple] = []
             data, offsets = tb.flat(batch.column(1))
-            for key, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                ids = words.encode(data[a:b].tobytes()) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * length)):
-                    own = ids[at : at + 4 * length]
-                    rows.append((key, piece, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
+            keys = batch.column(0).to_pylist()
+            for a, b in tb.slices(offsets, ENCODED_BYTES):
+                raw, own = stretched(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                texts = [raw[x:y] for x, y in zip(own[:-1].tolist(), own[1:].tolist())]
+                for key, ids in zip(keys[a:b], words.encode(texts)):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * length)):
+                        part = ids[at : at + 4 * length]
+                        rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
