@@ -19,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import textblocks as tb
 from quillstone.llm.scratch import Scratch
+from quillstone.llm.shards import answers_by_block, batch_of, by_shard, cuts, expand, shard_bits, sharded, squeeze
 
 U64 = np.uint64
 #: Hash of the end token, and the number of the context before the first word.
@@ -36,24 +36,6 @@ BLOCK_BYTES = 8 << 20
 GT = 5
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """An array as compressed byte planes."""
-    raw = np.ascontiguousarray(values)
-    planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def expand(data: bytes, kind=U64) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
-
-
-def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-
 def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents (id, train, text): token numbers, vocabulary, and training counts."""
     task, serial = TaskContext.get().partitionId(), 0
@@ -84,30 +66,17 @@ def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             serial += 1
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """All rows of one shard after another, from batches sorted by shard."""
-    rows: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and rows[0]["shard"] != row["shard"]:
-                yield rows
-                rows = []
-            rows.append(row)
-    if rows:
-        yield rows
-
-
 def _word_requests(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 vocabulary, seen = expand(row["vocabulary"]), expand(row["seen"])
-                cut = np.searchsorted(vocabulary >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
+                cut = cuts(vocabulary, bits)
                 rows = [
                     (s, row["block"], squeeze(vocabulary[a:b]), squeeze(seen[a:b]))
                     for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a
                 ]
-                yield _batch(rows, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["shard", "block", "words", "seen"])
+                yield batch_of(rows, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["shard", "block", "words", "seen"])
 
     return run
 
@@ -118,7 +87,7 @@ def _word_answers(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         names = ["block", "shard", "count", "number"]
-        for rows in _by_shard(batches):
+        for rows in by_shard(batches):
             parts = [expand(r["words"]) for r in rows]
             words, at = np.unique(np.concatenate(parts), return_inverse=True)
             count = np.bincount(at, weights=np.concatenate([expand(r["seen"]) for r in rows]), minlength=len(words)).astype(U64)
@@ -131,7 +100,7 @@ def _word_answers(bits: int):
                 for r, a, b in zip(rows, cut[:-1], cut[1:])
             ]
             r, n = np.unique(count, return_counts=True)
-            yield _batch([*out, (None, rows[0]["shard"], squeeze(r), squeeze(n.astype(U64)))], kinds, names)
+            yield batch_of([*out, (None, rows[0]["shard"], squeeze(r), squeeze(n.astype(U64)))], kinds, names)
 
     return run
 
@@ -237,7 +206,7 @@ def _pair_requests(bits: int, train_docs: int, hot: float):
                         s, row["block"], squeeze(v), squeeze(np.diff(at).astype(U64)), squeeze(p.split[a:b][at[:-1]].astype(np.uint8)),
                         squeeze(p.w[a:b]), squeeze(p.w_count[a:b]), squeeze(p.seen[a:b]),
                     ))
-                yield _batch(rows, kinds, names)
+                yield batch_of(rows, kinds, names)
 
     return run
 
@@ -248,7 +217,7 @@ def _pair_answers(unigrams: Unigrams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         names = ["block", "shard", "count", "few", "mass"]
-        for rows in _by_shard(batches):
+        for rows in by_shard(batches):
             vs, many = [expand(r["v"]) for r in rows], [expand(r["many"]).astype(np.int64) for r in rows]
             ws = [expand(r["w"]) for r in rows]
             contexts, v_of = np.unique(np.concatenate(vs), return_inverse=True)
@@ -274,7 +243,7 @@ def _pair_answers(unigrams: Unigrams):
             if len(split):
                 c = np.searchsorted(contexts, split)
                 out.append((None, rows[0]["shard"], squeeze(split), squeeze(few[c].ravel()), squeeze(mass[c])))
-            yield _batch(out, kinds, names)
+            yield batch_of(out, kinds, names)
 
     return run
 
@@ -333,15 +302,6 @@ def _scorer(bits: int, train_docs: int, hot: float, unigrams: Unigrams, backoff:
     return run
 
 
-def _grouped(answers: DataFrame, *fields: str) -> DataFrame:
-    """A block's answers in one row; as large as its requests, that is, as a block of texts."""
-    return answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("got"))
-
-
-def _sharded(requests: DataFrame, shards: int) -> DataFrame:
-    return requests.repartition(shards, "shard").sortWithinPartitions("shard")
-
-
 def katz_scores(
     docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", hot_context: int = 1_000_000
 ) -> DataFrame:
@@ -367,12 +327,11 @@ def katz_scores(
     )
     size = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs")).first()
     train_docs = size["docs"]
-    bits = max(4, int(size["n"]).bit_length() - 1)
-    shards = 1 << bits
+    bits = shard_bits(size["n"])
 
     asked = blocks.select("block", "vocabulary", "seen").mapInArrow(_word_requests(bits), "shard int, block long, words binary, seen binary")
     words = scratch.save(
-        _sharded(asked, shards).mapInArrow(_word_answers(bits), "block long, shard int, count binary, number binary"), "words"
+        sharded(asked, bits).mapInArrow(_word_answers(bits), "block long, shard int, count binary, number binary"), "words"
     )
     counts: dict[int, int] = {}
     for r in words.where("block is null").select("count", "number").toLocalIterator():
@@ -381,20 +340,20 @@ def katz_scores(
     unigrams = Unigrams.of(counts)
     hot = float(max(hot_context, unigrams.total >> 16))
 
-    told = _grouped(words, "shard", "count", "number").withColumnRenamed("got", "words")
+    told = answers_by_block(words, "shard", "count", "number").withColumnRenamed("got", "words")
     known = blocks.select("block", "ids", "train", "n", "stream").join(told.hint("shuffle_hash"), "block")
     asked = known.select("block", "train", "n", "stream", "words").mapInArrow(
         _pair_requests(bits, train_docs, hot),
         "shard int, block long, v binary, many binary, split binary, w binary, w_count binary, seen binary",
     )
     pairs = scratch.save(
-        _sharded(asked, shards).mapInArrow(
+        sharded(asked, bits).mapInArrow(
             _pair_answers(unigrams), "block long, shard int, count binary, few binary, mass binary"
         ),
         "pairs",
     )
     backoff = _backoff(pairs)
-    told = _grouped(pairs, "shard", "count", "few", "mass").withColumnRenamed("got", "pairs")
+    told = answers_by_block(pairs, "shard", "count", "few", "mass").withColumnRenamed("got", "pairs")
     scored = known.join(told.hint("shuffle_hash"), "block").mapInArrow(
         _scorer(bits, train_docs, hot, unigrams, backoff),
         f"id {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double",

@@ -7,8 +7,9 @@ missed, and a sixth of all positions is shuffled. Only windows whose anchor repe
 to twice the length, where all of them are compared and those that start earlier elsewhere are
 found; no candidate is left for a further level.
 
-Each Arrow batch names a window once however often it holds it, so a passage that fills a third of
-the corpus meets in one place with one row a batch, not one an occurrence.
+Documents are written in blocks, which ask shards of anchors and then of windows about what they hold
+(see ``shards``). A block names a window once however often it holds it, so a passage that fills a
+third of the corpus meets in one place with one row a block, not one an occurrence.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import textblocks as tb
+from quillstone.llm.scratch import Scratch
+from quillstone.llm.shards import answers_by_block, batch_of, by_shard, cuts, expand, shard_bits, sharded, squeeze
 
 U64 = np.uint64
-#: Bytes of text over which a worker merges equal windows before they are shuffled.
-MERGED_BYTES = 4 << 20
+#: Bytes of text in a block, one document at least.
+BLOCK_BYTES = 8 << 20
 #: Low bits of an anchor's order that hold its place in the block.
 PLACE = U64((1 << 28) - 1)
 
@@ -56,105 +61,160 @@ def window_anchors(found: tb.Words, width: int) -> tuple[np.ndarray, np.ndarray,
     return starts, at, halves[at]
 
 
-def _anchors(width: int):
+def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents (id, text): their ids, sizes and texts, compressed."""
+    task, serial = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        data, offsets = tb.flat(batch.column("text"))
+        ids = batch.column("id")
+        for at, to in tb.slices(offsets, BLOCK_BYTES):
+            own = ids.slice(at, to - at)
+            known = np.asarray(own.is_valid())
+            yield batch_of(
+                [(
+                    (task << 32) + serial, squeeze(np.asarray(own.fill_null(0), np.int64)), squeeze(known.astype(np.uint8)),
+                    squeeze(np.diff(offsets[at : to + 1])), zstandard.ZstdCompressor(level=3).compress(data[offsets[at] : offsets[to]].tobytes()),
+                )],
+                [pa.int64(), *[pa.binary()] * 4],
+                ["block", "ids", "known", "sizes", "texts"],
+            )
+            serial += 1
+
+
+class _Block:
+    """A block's words, and its windows of documents with an id."""
+
+    def __init__(self, row: dict, width: int):
+        self.ids = expand(row["ids"], np.int64)
+        self.known = expand(row["known"], np.uint8).astype(bool)
+        offsets = np.concatenate(([0], np.cumsum(expand(row["sizes"], np.int64))))
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"]), np.uint8)
+        self.words = found = tb.scan(data, offsets, tb.BLANK_WORDS, fold=False)
+        starts, self.place, self.anchor = window_anchors(found, width)
+        doc = np.searchsorted(found.first, starts, side="right") - 1
+        good = self.known[doc]
+        self.starts, self.doc, self.place, self.anchor = starts[good], doc[good], self.place[good], self.anchor[good]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchors, and which of them stand at several places of the block."""
+        _, once = np.unique(self.place, return_index=True)
+        anchor, times = np.unique(self.anchor[once], return_counts=True)
+        return anchor, times > 1
+
+    def candidates(self, repeated: np.ndarray, width: int) -> None:
+        """Keep windows with repeated anchors, in the order of (hashes, id, place), and the first of each."""
+        anchor, at = np.unique(self.anchor, return_inverse=True)
+        good = repeated[at]
+        self.starts, self.doc = self.starts[good], self.doc[good]
+        h1 = tb.sequences(self.words.hash, width)[self.starts] if len(self.starts) else np.zeros(0, U64)
+        h2 = (tb.sequences(self.words.hash, width, 1)[self.starts] if len(self.starts) else h1).astype(np.uint32)
+        row, at = self.ids[self.doc], self.starts - self.words.first[self.doc]
+        by = np.lexsort((at, row, h2, h1))
+        self.h1, self.h2, self.row, self.at, self.starts = h1[by], h2[by], row[by], at[by], self.starts[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (self.h1[1:] != self.h1[:-1]) | (self.h2[1:] != self.h2[:-1])
+        self.head = np.flatnonzero(new)
+        self.of = np.cumsum(new) - 1
+
+
+def _anchor_requests(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(anchor, row, twice, first): each document's anchors once; ``twice`` if the block repeats one, ``first`` for one row a block."""
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for at, to, found in tb.blocks(batch.column(1), tb.BLANK_WORDS, fold=False, limit=MERGED_BYTES):
-                starts, place, anchor = window_anchors(found, width)
-                place, once = np.unique(place, return_index=True)
-                anchor = anchor[once]
-                doc = np.searchsorted(found.first, place, side="right") - 1
-                by = np.lexsort((doc, anchor))
-                anchor, doc = anchor[by], doc[by]
-                new = np.ones(len(anchor), bool)
-                new[1:] = anchor[1:] != anchor[:-1]
-                times = np.diff(np.append(np.flatnonzero(new), len(anchor)))
-                twice = np.repeat(times > 1, times)
-                out = new.copy()
-                out[1:] |= doc[1:] != doc[:-1]
-                yield pa.record_batch(
-                    [pa.array(anchor[out].view(np.int64)), pa.array(ids[at:to][doc[out]]), pa.array(twice[out]), pa.array(new[out])],
-                    names=["anchor", "row", "twice", "first"],
+            for row in batch.to_pylist():
+                anchor, twice = _Block(row, width).anchors()
+                cut = cuts(anchor, bits)
+                yield batch_of(
+                    [(s, row["block"], squeeze(anchor[a:b]), squeeze(twice[a:b].astype(np.uint8))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a],
+                    [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["shard", "block", "keys", "twice"],
                 )
 
     return run
 
 
-def _windows(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(h1, h2, row, at, gone): windows with repeated anchors; ``gone`` if the block itself starts it earlier.
+def _answers(rows: list[dict], said: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
+    cut = np.concatenate(([0], np.cumsum(sizes)))
+    out = [(r["block"], r["shard"], squeeze(said[a:b].astype(np.uint8))) for r, a, b in zip(rows, cut[:-1], cut[1:])]
+    return batch_of(out, [pa.int64(), pa.int32(), pa.binary()], ["block", "shard", "said"])
+
+
+def _anchor_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Does the anchor repeat, in one block or between blocks?"""
+    for rows in by_shard(batches):
+        parts = [expand(r["keys"]) for r in rows]
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        twice = np.concatenate([expand(r["twice"], np.uint8) for r in rows])
+        times = np.bincount(at, weights=1 + twice, minlength=len(keys))
+        yield _answers(rows, times[at] > 1, [len(p) for p in parts])
+
+
+def _said(answers: list[dict]) -> np.ndarray:
+    parts = [expand(r["said"], np.uint8) for r in sorted(answers, key=lambda r: r["shard"])]
+    return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+
 
-        Those that are gone need no comparison; they get a hash of their own, which spreads them.
-        """
+def _window_requests(width: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("row"))
-            lists = batch.column("anchors")
-            anchors = np.asarray(lists.flatten()).view(U64)
-            bounds = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))))
-            for at, to, found in tb.blocks(batch.column("text"), tb.BLANK_WORDS, fold=False, limit=MERGED_BYTES):
-                starts, _, anchor = window_anchors(found, width)
-                doc = np.searchsorted(found.first, starts, side="right") - 1
-                tag = np.repeat(np.arange(to - at, dtype=U64), np.diff(bounds[at : to + 1]))
-                own = anchors[bounds[at] : bounds[to]] ^ tb.mix(tag + U64(1))
-                good = np.isin(anchor ^ tb.mix(doc.astype(U64) + U64(1)), own)
-                starts, doc = starts[good], doc[good]
-                if not len(starts):
-                    continue
-                h1, h2 = tb.sequences(found.hash, width)[starts], tb.sequences(found.hash, width, 1)[starts]
-                row, place = ids[at:to][doc], (starts - found.first[doc]).astype(np.int32)
-                by = np.lexsort((place, row, h2, h1))
-                h1, h2, row, place = h1[by], h2[by], row[by], place[by]
-                new = np.ones(len(h1), bool)
-                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                head = np.flatnonzero(new)[np.cumsum(new) - 1]
-                gone = (row != row[head]) | (place != place[head])
-                h1 = np.where(gone, tb.mix(h1 + row.astype(U64) * U64(0x9E3779B97F4A7C15) + place.astype(U64)), h1)
-                yield pa.record_batch(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(row), pa.array(place), pa.array(gone)],
-                    names=["h1", "h2", "row", "at", "gone"],
-                )
+            for row in batch.to_pylist():
+                own = _Block(row, width)
+                own.candidates(_said(row["anchors"] or []), width)
+                head = own.head
+                cut = cuts(own.h1[head], bits)
+                rows = []
+                for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                    if b > a:
+                        at = head[a:b]
+                        rows.append((s, row["block"], squeeze(own.h1[at]), squeeze(own.h2[at]), squeeze(own.row[at]), squeeze(own.at[at].astype(np.uint32))))
+                yield batch_of(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 4], ["shard", "block", "h1", "h2", "row", "at"])
 
     return run
 
 
+def _window_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Does the window start earlier in another block?"""
+    for rows in by_shard(batches):
+        h1, h2 = (np.concatenate([expand(r[c], k) for r in rows]) for c, k in (("h1", U64), ("h2", np.uint32)))
+        row, at = (np.concatenate([expand(r[c], k) for r in rows]) for c, k in (("row", np.int64), ("at", np.uint32)))
+        by = np.lexsort((at, row, h2, h1))
+        new = np.ones(len(by), bool)
+        new[1:] = (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])
+        head = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        said = np.empty(len(by), bool)
+        said[by] = (row[by] != row[head]) | (at[by] != at[head])
+        yield _answers(rows, said, [len(expand(r["h2"], np.uint32)) for r in rows])
+
+
 def _remover(width: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, digest, kept_text = [], [], [], []
-            lists = batch.column("gone")
-            starts = np.asarray(lists.flatten(), np.int64)
-            bounds = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))))
-            for at, to, found in tb.blocks(batch.column("text"), tb.BLANK_WORDS, fold=False):
-                n = len(found.hash)
-                own = starts[bounds[at] : bounds[to]] + np.repeat(found.first[:-1], np.diff(bounds[at : to + 1]))
-                own = own[own + width <= np.repeat(found.first[1:], np.diff(bounds[at : to + 1]))]
-                change = np.bincount(own, minlength=n + 1) - np.bincount(own + width, minlength=n + 1)
+            for row in batch.to_pylist():
+                own = _Block(row, width)
+                own.candidates(_said(row["anchors"] or []), width)
+                found, n = own.words, len(own.words.hash)
+                head = own.head[own.of] if len(own.of) else own.of
+                gone = (own.row != own.row[head]) | (own.at != own.at[head])
+                gone |= _said(row["windows"] or [])[own.of] if len(own.of) else gone
+                starts = own.starts[gone]
+                change = np.bincount(starts, minlength=n + 1) - np.bincount(starts + width, minlength=n + 1)
                 keep = np.cumsum(change[:n]) == 0
                 # Kept words and one blank after each, as one run of bytes.
                 size = (found.end - found.start) * keep
                 out_at = np.concatenate(([0], np.cumsum(size + keep)))
-                ends = out_at[found.first]
                 source = np.repeat(found.start[keep] - out_at[:-1][keep], size[keep] + 1) + np.arange(out_at[-1])
                 out = found.data[np.minimum(source, max(len(found.data) - 1, 0))] if n else np.zeros(0, np.uint8)
                 out[out_at[1:][keep] - 1] = 32
                 total = np.concatenate(([0], np.cumsum(keep)))
-                n_words += found.counts().tolist()
-                n_removed += (found.counts() - (total[found.first[1:]] - total[found.first[:-1]])).tolist()
-                raw = out.tobytes()
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    kept = raw[a : max(a, b - 1)]
-                    digest.append(hashlib.sha256(kept).hexdigest())
-                    if texts:
-                        kept_text.append(kept.decode())
-            columns = {
-                "id": batch.column("id"), "n_words": pa.array(n_words, pa.int64()),
-                "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()),
-            }
-            if texts:
-                columns["kept_text"] = pa.array(kept_text, pa.string())
-            yield pa.record_batch(list(columns.values()), names=list(columns))
+                raw, ends = out.tobytes(), out_at[found.first].tolist()
+                kept = [raw[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:])]
+                n_words = found.counts()
+                columns = {
+                    "id": pa.array(own.ids, mask=~own.known), "n_words": pa.array(n_words),
+                    "n_removed": pa.array(n_words - (total[found.first[1:]] - total[found.first[:-1]])),
+                    "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()),
+                }
+                if texts:
+                    columns["kept_text"] = pa.array([t.decode() for t in kept], pa.string())
+                yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run
 
@@ -174,21 +234,22 @@ def remove_repeated_windows(
     """
     if width % 2:
         raise ValueError("width must be even")
+    scratch = Scratch(docs.sparkSession, "substring-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    named = texts.where("id is not null").select(F.col("id").alias("row"), "text")
-    anchors = named.mapInArrow(_anchors(width), "anchor long, row long, twice boolean, first boolean")
-    seen = (
-        anchors.where("first").groupBy("anchor").agg(F.count(F.lit(1)).alias("batches"), F.max("twice").alias("twice"))
-        .where("batches > 1 or twice").select("anchor")
+    blocks = scratch.save(
+        texts.mapInArrow(_encoder, "block long, ids binary, known binary, sizes binary, texts binary"), "blocks"
+    )
+    bits = shard_bits(blocks.count())
+    answer = "block long, shard int, said binary"
+    asked = blocks.mapInArrow(_anchor_requests(width, bits), "shard int, block long, keys binary, twice binary")
+    anchors = scratch.save(sharded(asked, bits).mapInArrow(_anchor_answers, answer), "anchors")
+    told = answers_by_block(anchors, "shard", "said").withColumnRenamed("got", "anchors")
+    known = blocks.join(told.hint("shuffle_hash"), "block", "left")
+    asked = known.mapInArrow(
+        _window_requests(width, bits), "shard int, block long, h1 binary, h2 binary, row binary, at binary"
     )
-    by_row = anchors.join(seen, "anchor", "left_semi").groupBy("row").agg(F.collect_list("anchor").alias("anchors"))
-    candidates = named.join(by_row.hint("shuffle_hash"), "row")
-    windows = candidates.mapInArrow(_windows(width), "h1 long, h2 long, row long, at int, gone boolean")
-    order = Window.partitionBy("h1", "h2").orderBy("row", "at")
-    first = windows.withColumn("first", F.first(F.struct("row", "at")).over(order))
-    later = first.where("gone or row != first.row or at != first.at")
-    gone = later.groupBy("row").agg(F.collect_list("at").alias("gone"))
-    marked = named.join(gone.hint("shuffle_hash"), "row", "left").select(F.col("row").alias("id"), "text", "gone")
-    marked = marked.unionByName(texts.where("id is null").withColumn("gone", F.lit(None).cast("array<int>")))
+    windows = scratch.save(sharded(asked, bits).mapInArrow(_window_answers, answer), "windows")
+    told = answers_by_block(windows, "shard", "said").withColumnRenamed("got", "windows")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return marked.mapInArrow(_remover(width, with_text), schema).withColumnRenamed("id", id_col)
+    out = known.join(told.hint("shuffle_hash"), "block", "left").mapInArrow(_remover(width, with_text), schema)
+    return out.withColumnRenamed("id", id_col)
