@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
 from quillstone.llm.scratch import Scratch
-from quillstone.llm.stars import confirmed_links, pick
+from quillstone.llm.stars import ODD, confirmed_links, pick
 
 
 def _masks(n: int) -> list[int]:
@@ -31,7 +31,7 @@ def _xor(mask: int) -> Callable[[Column], Column]:
 
 def shingles(line: str, width: int) -> Column:
     """Distinct hashes of the ``width`` characters that follow each word's beginning."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?<![^ ])(?=(.{{1,{width}}}))"), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{width}}}))[^ ]* ?"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
 
 
@@ -41,8 +41,15 @@ def _bands(own: str, bands: int, rows: int) -> Column:
 
 
 def _parity(own: str) -> Column:
-    flip = lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-    return F.array(F.aggregate(own, F.lit(0).cast("long"), flip))
+    """A parity sketch: hashes flip bits, of the word that their next bits name."""
+    one = F.lit(1).cast("long")
+    flip = lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))
+
+    def word(k: int) -> Column:
+        mine = F.filter(own, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(ODD - 1)) == k)
+        return F.aggregate(mine, F.lit(0).cast("long"), flip)
+
+    return F.array(*(word(k) for k in range(ODD)))
 
 
 def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
@@ -61,25 +68,35 @@ def duplicate_lines(
     percent = round(100 * similarity)
     lines = _numbered(docs, text_col)
     own = lines.withColumn("own", shingles("line", width)).select(
-        "id", "no", "k1", "k2", F.size("own").cast("long").alias("n"), _bands("own", bands, rows).alias("bands"), _parity("own").alias("odd")
+        "id", "no", "k1", "k2", F.size("own").cast("long").alias("n"), _bands("own", bands, rows).alias("bands")
     )
     classes = own.groupBy("k1", "k2").agg(
         F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"),
-        F.first("bands").alias("bands"), F.first("odd").alias("odd"),
+        F.first("bands").alias("bands"),
     )
-    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("rep"), "*"), "line-classes")
+    # Stars form around the least id: lines with more copies get smaller ones.
+    scarcity = F.lit(63) - F.floor(F.log2("lines"))
+    rep = F.call_function("shiftleft", scarcity.cast("long"), F.lit(57)) + F.monotonically_increasing_id()
+    classes = scratch.save(classes.select(rep.alias("rep"), "*"), "line-classes")
+
+    def sets(reps: DataFrame) -> DataFrame:
+        """(rep, own): the shingles of classes, read where they first stand."""
+        ids = scratch.save(reps.join(classes.select("rep", "first"), "rep").select("rep", "first.*"), "line-ids")
+        texts = pick(lines.select("id", "no", "line"), ids, ids.count(), "inner", ["id", "no"])
+        return texts.select("rep", shingles("line", width).alias("own"))
 
     def shared(pairs: DataFrame) -> DataFrame:
-        both = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        ids = scratch.save(both.join(classes.select("rep", "first", "k1", "k2"), "rep").select("rep", "first.*", "k1", "k2"), "line-ids")
-        texts = pick(lines.drop("k1", "k2"), ids, ids.count(), "inner", ["id", "no"])
-        sets = scratch.save(texts.select("rep", shingles("line", width).alias("own")), "line-sets")
-        out = pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a").join(
-            sets.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b"
+        own = sets(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
+        own = scratch.save(own, "line-sets")
+        out = pairs.join(own.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a").join(
+            own.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b"
         )
         return out.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
 
-    found = components(confirmed_links(classes, shared, percent, 1, scratch), scratch)
+    def sketches(reps: DataFrame) -> DataFrame:
+        return scratch.save(sets(reps).select("rep", _parity("own").alias("odd")), "line-sketches")
+
+    found = components(confirmed_links(classes, shared, sketches, percent, scratch), scratch)
     near = found.select(F.col("node").alias("rep"), "component").unionByName(
         found.select(F.col("component").alias("rep"), "component").distinct()
     )

@@ -19,13 +19,10 @@ from pyspark.sql import functions as F
 from quillstone.llm import textblocks as tb
 from quillstone.llm.components import components
 from quillstone.llm.scratch import Scratch
-from quillstone.llm.stars import confirmed_links, pick
+from quillstone.llm.stars import ODD, confirmed_links, pick
 
 U64 = np.uint64
 
-#: Words of 64 bits in a parity sketch.
-ODD = 16
-
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle, an empty one none."""
@@ -183,7 +180,7 @@ def near_duplicates(
         .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
         "classes",
     )
-    links = confirmed_links(classes, _Sets(texts, words, scratch).shared, percent, ODD, scratch)
+    links = confirmed_links(classes, _Sets(texts, words, scratch).shared, lambda reps: classes.join(reps, "rep", "left_semi"), percent, scratch)
     # A class ties the ids of its copies together, and so an id of several texts its classes.
     copies = known.join(classes.select("high", "low", "n", "rep"), ["high", "low", "n"]).where("id != rep")
     every = components(

@@ -1,11 +1,10 @@
 """Links between classes of equal sets: star-shaped candidates in buckets, confirmed on full sets.
 
 In each bucket every class is paired with the least one (a star), so candidates are bounded by
-bucket entries. Pairs of a bucket that the confirmed stars left in different components are then
-confirmed too, apart from those that set sizes, the triangle inequality of the Jaccard distance or
-the sets' parity sketches rule out, so that a star loses no link that its bucket holds. A parity
-sketch flips one bit for each element: two sets differ in as many elements as their sketches in
-bits, at least.
+bucket entries. Where that leaves a bucket in several components, pairs of different components are
+confirmed too, from whoever is outside the largest one, apart from those that set sizes, the triangle inequality of the Jaccard distance or the sets' parity sketches rule out,
+so that a star loses no link that its bucket holds. A parity sketch flips one bit for each element:
+two sets differ in as many elements as their sketches in bits, at least.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.components import components
 from quillstone.llm.scratch import Scratch
 
+#: 64-bit words of a parity sketch.
+ODD = 16
 #: Ids that may be broadcast (16 bytes each) to pick rows out of a scan; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -33,13 +34,13 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 
 def confirmed_links(
-    classes: DataFrame, shared: Callable[[DataFrame], DataFrame], percent: int, words: int, scratch: Scratch
+    classes: DataFrame, shared: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch
 ) -> DataFrame:
     """(a, b): edges with the components of all links between classes that share a bucket.
 
-    ``classes`` is a written table (rep, n, bands, odd): an id, the set's size, its bucket keys and a
-    parity sketch of ``words`` 64-bit words. ``shared`` gives (a, b, shared), the sizes of
-    intersections, for a written table of pairs (a, b).
+    ``classes`` is a written table (rep, n, bands): an id, the set's size and its bucket keys.
+    ``shared`` gives (a, b, shared), the sizes of intersections, for a written table of pairs (a, b);
+    ``sketches`` gives the parity sketches (rep, odd), of ``ODD`` words, of a written table (rep).
     """
     entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     centers = (
@@ -57,48 +58,51 @@ def confirmed_links(
     )
     overlap = scratch.save(_with_total(star, shared), "overlap")
     linked = F.col("shared") * 100 >= F.col("total") * percent
-    first = components(overlap.where(linked).select("a", "b"), scratch)
-    rest = scratch.save(_left_by_stars(members, overlap, first, classes, percent, words), "rest")
+    links = components(overlap.where(linked).select("a", "b"), scratch)
+    placed = scratch.save(_mixed(_placed(members, overlap), links), "mixed")
+    reps = scratch.save(placed.select("rep").distinct(), "reps")
+    odd = sketches(reps).select("rep", *(F.col("odd")[k].alias(f"o{k}") for k in range(ODD)))
+    state = scratch.save(placed.join(odd, "rep"), "state")
+    rest = scratch.save(_possible(_sides(state), percent), "rest")
     more = _with_total(rest, shared).where(linked).select("a", "b")
-    return first.toDF("a", "b").unionByName(more)
+    return links.toDF("a", "b").unionByName(more)
 
 
 def _with_total(pairs: DataFrame, shared: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return pairs.join(shared(pairs), ["a", "b"]).withColumn("total", F.col("na") + F.col("nb") - F.col("shared"))
 
 
-def _left_by_stars(
-    members: DataFrame, overlap: DataFrame, first: DataFrame, classes: DataFrame, percent: int, words: int
-) -> DataFrame:
-    """Pairs within a bucket that stars left in different components and that no bound rules out."""
-    share = overlap.select(
-        F.col("a").alias("center"), F.col("b").alias("rep"), (F.col("shared") / F.col("total")).alias("s")
-    )
-    own = first.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    centers = first.select(F.col("node").alias("center"), F.col("component").alias("center_comp"))
-    placed = (
-        members.where("rep != center")
-        .join(share, ["center", "rep"], "left")
-        .join(own, "rep", "left")
-        .join(centers, "center", "left")
-        .select(
-            "bucket", "rep", "n", "s", F.coalesce("comp", "rep").alias("comp"),
-            F.coalesce("center_comp", "center").alias("center_comp"),
-        )
-    )
-    apart = placed.where("comp != center_comp")
-    odd = classes.select("rep", *(F.col("odd")[k].alias(f"o{k}") for k in range(words)))
-    # Only buckets with someone apart are looked at again.
-    placed = placed.join(apart.select("bucket").distinct(), "bucket", "left_semi").join(odd, "rep")
-    apart = placed.where("comp != center_comp")
-    outside = apart.select(*(F.col(c).alias(f"{c}_1") for c in apart.columns))
+def _placed(members: DataFrame, overlap: DataFrame) -> DataFrame:
+    """Members other than centers (bucket, rep, n, s), with their similarity to the center."""
+    share = overlap.select(F.col("a").alias("center"), F.col("b").alias("rep"), (F.col("shared") / F.col("total")).alias("s"))
+    return members.where("rep != center").join(share, ["center", "rep"], "left").drop("center", "center_n")
+
+
+def _mixed(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, with ``comp``."""
+    own = links.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    rows = placed.join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    return rows.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def _sides(state: DataFrame) -> DataFrame:
+    """Rows beside those of the same bucket in another component, each pair from both sides or one."""
+    left = state.join(
+        state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", "n").alias("most")), "bucket"
+    ).where("comp != most").drop("most")
+    left = left.select(*(F.col(c).alias(f"{c}_1") for c in left.columns))
+    return left.join(state, (F.col("bucket_1") == F.col("bucket")) & (F.col("comp_1") != F.col("comp")))
+
+
+def _possible(sides: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) that no bound rules out."""
     differ = F.lit(0)
-    for k in range(words):
+    for k in range(ODD):
         differ = differ + F.bit_count(F.col(f"o{k}").bitwiseXOR(F.col(f"o{k}_1")))
     slack = 1 - percent / 100 + 1e-9
-    pairs = outside.join(placed, F.col("bucket_1") == F.col("bucket")).where(
-        (F.col("comp") != F.col("comp_1"))
-        & _alike(F.col("n"), F.col("n_1"), percent)
+    pairs = sides.where(
+        _alike(F.col("n"), F.col("n_1"), percent)
         & (differ * (100 + percent) <= (F.col("n") + F.col("n_1")) * (100 - percent))
         # Where sizes already ruled a pair with the center out, s is null and gives no bound.
         & F.coalesce(F.abs(F.col("s") - F.col("s_1")) <= slack, F.lit(True))
