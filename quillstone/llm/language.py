@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import textblocks as tb
+from quillstone.llm.scratch import bounded_batches
 
 U64 = np.uint64
 SLOT_BITS, PROBES = 20, 2
@@ -174,6 +175,7 @@ def predict(
     learnt; ties go to the language with more training rows, repeated rows get equal results. Very
     long texts are read whole. Columns that are not in ``keep`` are ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(_predictor(model), f"{kinds}, lang_pred string, score double")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.scratch import bounded_batches
+
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -177,6 +179,7 @@ def audio_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     multiple of 192. Rows are independent: equal texts get equal values, ids may repeat or be null,
     other columns are ignored and an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_recorder(spec), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)

@@ -24,10 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts: fewer rows than Spark's default, unless the session set its own number."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, rows)
+
+
 class Scratch:
     """Intermediate tables of one run. Lost executors only recompute from the last written table."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0

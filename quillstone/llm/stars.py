@@ -2,9 +2,10 @@
 
 In each bucket every class is paired with the least one (a star), so candidates are bounded by
 bucket entries. Where that leaves a bucket in several components, pairs of different components are
-confirmed too, from whoever is outside the largest one, apart from those that set sizes, the triangle inequality of the Jaccard distance or the sets' parity sketches rule out,
-so that a star loses no link that its bucket holds. A parity sketch flips one bit for each element:
-two sets differ in as many elements as their sketches in bits, at least.
+confirmed too, from whoever is outside the largest one, apart from those that set sizes, the
+triangle inequality of the Jaccard distance or the sets' parity sketches rule out, so that a star
+loses no link that its bucket holds. A parity sketch flips one bit for each element: two sets differ
+in as many elements as their sketches in bits, at least.
 """
 
 from __future__ import annotations

@@ -30,7 +30,7 @@ from quillstone.llm.shards import answers_by_block, batch_of, by_shard, cuts, ex
 
 U64 = np.uint64
 #: Bytes of text in a block, one document at least.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Low bits of an anchor's order that hold its place in the block.
 PLACE = U64((1 << 28) - 1)
 

@@ -114,7 +114,23 @@ def slices(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, fold: bool) -> Words:
-    """All words of one block."""
+    """All words of one block; of a large one, part after part."""
+    cut = list(slices(offsets))
+    if len(cut) < 2:
+        return _scan(data, offsets, keep, fold)
+    parts = [_scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], keep, fold) for a, b in cut]
+    before = np.cumsum([0, *(len(p.hash) for p in parts)])
+    return Words(
+        np.concatenate([p.data for p in parts]) if fold else data,
+        offsets,
+        np.concatenate([p.start + offsets[a] for p, (a, _) in zip(parts, cut)]),
+        np.concatenate([p.end + offsets[a] for p, (a, _) in zip(parts, cut)]),
+        np.concatenate([p.hash for p in parts]),
+        np.concatenate([*(p.first[:-1] + n for p, n in zip(parts, before)), before[-1:]]),
+    )
+
+
+def _scan(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, fold: bool) -> Words:
     if fold:
         data = _LOWER[data]
     n = len(data)

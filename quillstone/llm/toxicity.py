@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import textblocks as tb
+from quillstone.llm.scratch import bounded_batches
 
 U64 = np.uint64
 ORDER = 5
@@ -222,6 +223,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
     nothing learnt, every score is 0.5. Repeated rows get equal results, ids may be null, very long
     texts are read whole, other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     out = texts.mapInArrow(_scorer(model, raw=False), f"id {kind}, score double")
