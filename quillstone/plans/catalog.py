@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import search
+from quillstone.plans import extract, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {**search.QUERIES}
+    return {**search.QUERIES, **extract.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**search.ORACLES}
+    return {**search.ORACLES, **extract.ORACLES}
