@@ -88,12 +88,13 @@ def _mixed(placed: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _sides(state: DataFrame) -> DataFrame:
-    """Rows beside those of the same bucket in another component, each pair from both sides or one."""
-    left = state.join(
-        state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", "n").alias("most")), "bucket"
-    ).where("comp != most").drop("most")
-    left = left.select(*(F.col(c).alias(f"{c}_1") for c in left.columns))
-    return left.join(state, (F.col("bucket_1") == F.col("bucket")) & (F.col("comp_1") != F.col("comp")))
+    """Who is outside a bucket's largest component, beside those of its other components; each pair once a bucket."""
+    sizes = state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("bucket").agg(F.max_by("comp", "size").alias("most"))
+    state = state.join(most, "bucket").withColumn("outside", F.col("comp") != F.col("most")).drop("most")
+    left = state.where("outside").select(*(F.col(c).alias(f"{c}_1") for c in state.columns))
+    once = ~F.col("outside") | (F.col("rep_1") < F.col("rep"))
+    return left.join(state, (F.col("bucket_1") == F.col("bucket")) & (F.col("comp_1") != F.col("comp")) & once)
 
 
 def _possible(sides: DataFrame, percent: int) -> DataFrame:
