@@ -79,24 +79,29 @@ def duplicate_lines(
     rep = F.call_function("shiftleft", scarcity.cast("long"), F.lit(57)) + F.monotonically_increasing_id()
     classes = scratch.save(classes.select(rep.alias("rep"), "*"), "line-classes")
 
-    def sets(reps: DataFrame) -> DataFrame:
-        """(rep, own): the shingles of classes, read where they first stand."""
-        ids = scratch.save(reps.join(classes.select("rep", "first"), "rep").select("rep", "first.*"), "line-ids")
-        texts = pick(lines.select("id", "no", "line"), ids, ids.count(), "inner", ["id", "no"])
-        return texts.select("rep", shingles("line", width).alias("own"))
+    own_sets: list[DataFrame] = []
+
+    def ready(reps: DataFrame) -> None:
+        """(rep, own): the shingles of classes, cut out of the documents where they first stand."""
+        ids = reps.join(classes.select("rep", "first", "k1"), "rep").groupBy("first.id").agg(F.collect_list(F.struct("first.no", "rep", "k1")).alias("at"))
+        ids = scratch.save(ids, "line-ids")
+        texts = pick(docs.select("id", text_col), ids, ids.count(), "inner").select(F.explode("at").alias("x"), F.split(text_col, "\n", -1).alias("parts"))
+        found = texts.select("x.rep", "x.k1", F.get("parts", F.col("x.no")).alias("line"))
+        # An id may stand on several rows: the line is that of the class, once.
+        found = found.where(F.xxhash64("line") == F.col("k1")).dropDuplicates(["rep"])
+        own_sets.append(scratch.save(found.select("rep", shingles("line", width).alias("own")), "line-sets"))
 
     def shared(pairs: DataFrame) -> DataFrame:
-        own = sets(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
-        own = scratch.save(own, "line-sets")
+        own = own_sets[0]
         out = pairs.join(own.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a").join(
             own.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b"
         )
         return out.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
 
     def sketches(reps: DataFrame) -> DataFrame:
-        return scratch.save(sets(reps).select("rep", _parity("own").alias("odd")), "line-sketches")
+        return own_sets[0].join(reps, "rep", "left_semi").select("rep", _parity("own").alias("odd"))
 
-    found = components(confirmed_links(classes, shared, sketches, percent, scratch), scratch)
+    found = components(confirmed_links(classes, shared, sketches, percent, scratch, ready), scratch)
     near = found.select(F.col("node").alias("rep"), "component").unionByName(
         found.select(F.col("component").alias("rep"), "component").distinct()
     )

@@ -35,13 +35,15 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 
 def confirmed_links(
-    classes: DataFrame, shared: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch
+    classes: DataFrame, shared: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch,
+    ready: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """(a, b): edges with the components of all links between classes that share a bucket.
 
     ``classes`` is a written table (rep, n, bands): an id, the set's size and its bucket keys.
     ``shared`` gives (a, b, shared), the sizes of intersections, for a written table of pairs (a, b);
     ``sketches`` gives the parity sketches (rep, odd), of ``ODD`` words, of a written table (rep).
+    ``ready`` is told before which classes share a bucket with others, as (rep).
     """
     entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     centers = (
@@ -51,6 +53,8 @@ def confirmed_links(
         .select("bucket", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
     )
     members = scratch.save(entries.join(centers, "bucket"), "members")
+    if ready is not None:
+        ready(members.select("rep").distinct())
     star = scratch.save(
         members.where((F.col("rep") != F.col("center")) & _alike(F.col("n"), F.col("center_n"), percent))
         .groupBy(F.col("center").alias("a"), F.col("rep").alias("b"))
