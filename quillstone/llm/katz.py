@@ -197,6 +197,7 @@ def _pair_requests(bits: int, train_docs: int, hot: float):
         names = ["shard", "block", "v", "many", "split", "w", "w_count", "seen"]
         for batch in batches:
             for row in batch.to_pylist():
+                tb.release()
                 p = Pairs(row, bits, train_docs, hot)
                 rows = []
                 for s, a, b in p.parts(bits):
@@ -262,6 +263,7 @@ def _scorer(bits: int, train_docs: int, hot: float, unigrams: Unigrams, backoff:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, ids in zip(batch.drop_columns(["ids"]).to_pylist(), batch.column("ids")):
+                tb.release()
                 p = Pairs(row, bits, train_docs, hot)
                 answers = sorted(row["pairs"], key=lambda r: r["shard"])
                 r = np.concatenate([expand(x["count"]) for x in answers])

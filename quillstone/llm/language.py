@@ -154,6 +154,7 @@ def _predictor(model: LanguageFilter):
                 pick.append(np.where(letters, best, len(model.languages)))
                 share = got.max(axis=1) / np.maximum(n, 1)
                 score.append(np.where(letters, np.clip(share, 0, 1), 0.0))
+            tb.release()
             pick = np.concatenate(pick) if pick else np.zeros(0, np.int64)
             score = np.concatenate(score) if score else np.zeros(0)
             carried = [c for c in batch.schema.names if c != "__text"]

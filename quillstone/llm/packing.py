@@ -26,7 +26,7 @@ from quillstone.llm import textblocks as tb
 from quillstone.llm.scratch import Scratch
 
 #: Distinct words whose ids a worker keeps, in each of two generations.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 180_000
 #: Bytes of text that are encoded at a time.
 ENCODED_BYTES = 1 << 20
 
@@ -130,6 +130,7 @@ def _cutter(path: str, end_id: int, length: int, with_ids: bool):
                     for piece, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
                         rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+            tb.release()
             columns = list(zip(*rows)) or [()] * 6
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]

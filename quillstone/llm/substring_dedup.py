@@ -156,6 +156,7 @@ def _window_requests(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                tb.release()
                 own = _Block(row, width)
                 own.candidates(_said(row["anchors"] or []), width)
                 head = own.head
@@ -188,6 +189,7 @@ def _remover(width: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                tb.release()
                 own = _Block(row, width)
                 own.candidates(_said(row["anchors"] or []), width)
                 found, n = own.words, len(own.words.hash)

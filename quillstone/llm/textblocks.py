@@ -8,6 +8,8 @@ Every delimiter is ASCII, hence byte classes and character classes agree. Words
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,6 +93,13 @@ class Words:
         return np.diff(self.first)
 
 
+def release() -> None:
+    """Give freed memory back to the system; an executor's workers share its limit with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; a null is an empty text."""
     if isinstance(array, pa.ChunkedArray):
@@ -162,6 +172,7 @@ def blocks(texts: pa.Array, keep: np.ndarray, fold: bool, limit: int = BLOCK_BYT
     for at, to in slices(offsets, limit):
         own = offsets[at : to + 1]
         yield at, to, scan(data[own[0] : own[-1]], own - own[0], keep, fold)
+    release()
 
 
 def sequences(hashes: np.ndarray, width: int, which: int = 0) -> np.ndarray:

@@ -85,6 +85,8 @@ class Level:
         self.kinds = np.bincount(at, minlength=len(self.context)).astype(float)
 
     def estimate(self, gram: np.ndarray, below: np.ndarray) -> np.ndarray:
+        if not len(self.gram):
+            return below
         c = _lookup(self.context, gram >> U64(8))
         g = _lookup(self.gram, gram)
         total = np.where(c >= 0, self.total[c], 1.0)
