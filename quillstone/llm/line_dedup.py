@@ -19,6 +19,10 @@ from quillstone.llm.scratch import Scratch
 from quillstone.llm.stars import ODD, confirmed_links, pick
 
 
+#: More than any document has lines.
+PLACES = 1 << 32
+
+
 def _masks(n: int) -> list[int]:
     """n fixed 64-bit masks (a multiplicative sequence), as signed numbers."""
     values = [(k * 0x9E3779B97F4A7C15) % (1 << 64) for k in range(1, n + 1)]
@@ -35,11 +39,6 @@ def shingles(line: str, width: int) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
 
 
-def _bands(own: str, bands: int, rows: int) -> Column:
-    least = [F.array_min(F.transform(own, _xor(m))) for m in _masks(bands * rows)]
-    return F.array(*(F.xxhash64(F.lit(b), *least[b * rows : (b + 1) * rows]) for b in range(bands)))
-
-
 def _parity(own: str) -> Column:
     """A parity sketch: hashes flip bits, of the word that their next bits name."""
     one = F.lit(1).cast("long")
@@ -67,12 +66,20 @@ def duplicate_lines(
     """(k1, k2, id, no) of each class of equal lines of which some line must go: the place that stays, or nulls."""
     percent = round(100 * similarity)
     lines = _numbered(docs, text_col)
-    own = lines.withColumn("own", shingles("line", width)).select(
-        "id", "no", "k1", "k2", F.size("own").cast("long").alias("n"), _bands("own", bands, rows).alias("bands")
+    # A place is one number, so that all aggregates are plain numbers and nothing is sorted. Equal
+    # lines have equal shingles: least values are taken over all of them, before they are shuffled.
+    place = F.col("id").cast("decimal(28,0)") * F.lit(PLACES).cast("decimal(10,0)") + F.col("no")
+    each = lines.select("k1", "k2", place.cast("decimal(38,0)").alias("place"), F.posexplode(shingles("line", width)).alias("pos", "x"))
+    least = [F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks(bands * rows))]
+    classes = each.groupBy("k1", "k2").agg(
+        F.min(F.when(F.col("pos") == 0, F.col("place"))).alias("place"), F.count_if(F.col("pos") == 0).alias("lines"),
+        F.count(F.lit(1)).alias("all"), *least,
     )
-    classes = own.groupBy("k1", "k2").agg(
-        F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"),
-        F.first("bands").alias("bands"),
+    id_part = F.floor(F.col("place") / F.lit(PLACES).cast("decimal(10,0)"))
+    keys = [F.xxhash64(F.lit(b), *(f"m{k}" for k in range(b * rows, (b + 1) * rows))) for b in range(bands)]
+    classes = classes.select(
+        "k1", "k2", "lines", F.floor(F.col("all") / F.col("lines")).alias("n"), F.array(*keys).alias("bands"),
+        F.struct(id_part.cast("long").alias("id"), (F.col("place") - id_part * PLACES).cast("int").alias("no")).alias("first"),
     )
     # Stars form around the least id: lines with more copies get smaller ones.
     scarcity = F.lit(63) - F.floor(F.log2("lines"))
