@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
+        folder = tempfile.mkdtemp(prefix="quillstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[app] = f"file://{folder}"
     return _LOCAL[app]
 
 
