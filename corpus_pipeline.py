@@ -19,10 +19,15 @@ from quillstone.llm.stars import pick
 from quillstone.sources import table
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Texts with their rows, whose columns may have any names."""
+    return docs.select(F.struct(*docs.columns).alias("__row"), "text")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language go: those that are null or have no letter."""
-    model = language.train(docs)
-    return language.predict(docs, model, keep=tuple(docs.columns)).where("lang_pred != 'und'").select(*docs.columns)
+    found = language.predict(_whole(docs), language.train(docs), keep=("__row",))
+    return found.where("lang_pred != 'und'").select("__row.*")
 
 
 def deduplicate_document_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where("not contaminated").select(*docs.columns)
+    found = contamination(_whole(docs), table(spark, sf_dir, "benchmark"), keep=("__row",))
+    return found.where("not contaminated").select("__row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

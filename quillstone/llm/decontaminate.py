@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.llm import textblocks as tb
 from quillstone.llm.scratch import Scratch
@@ -205,7 +206,7 @@ def contamination(
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     texts = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
+    kept = StructType([texts.schema[c] for c in keep])
     windows = scratch.save(
         items.where(F.col(item_col).isNotNull())
         .select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("text"))
@@ -227,7 +228,8 @@ def contamination(
         index.order(_frequencies(texts, vocabulary) if len(vocabulary) else {})
         final = block == n_blocks - 1
         schema = "n_words long, n_hit long, items array<string>" if final else "__text string, __spans array<array<long>>, __items array<string>"
-        current = current.mapInArrow(_finder(index, began, final), f"{kinds}, {schema}")
+        schema = StructType(kept.fields + StructType.fromDDL(schema).fields)
+        current = current.mapInArrow(_finder(index, began, final), schema)
         began = True
         if not final and block % STAGED == STAGED - 1:
             current = scratch.save(current, "spans")

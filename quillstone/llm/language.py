@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.llm import textblocks as tb
 from quillstone.llm.scratch import bounded_batches
@@ -178,8 +179,8 @@ def predict(
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_predictor(model), f"{kinds}, lang_pred string, score double")
+    schema = StructType([rows.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(_predictor(model), schema)
 
 
 def fold(id_col: str, n: int) -> Column:

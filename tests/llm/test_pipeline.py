@@ -85,5 +85,18 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    names = ["lang_pred", "score", "items", "n_hit", "__text", "id", "node", "component", "kept", "a b"]
+    docs = docs.withColumns({n: F.lit(n) for n in names}).unionByName(docs.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema)), True)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        rows = docs.collect()
+        assert rows, name
+        if name != "packing":
+            assert {r["a b"] for r in rows} == {"a b"} and {r["score"] for r in rows} == {"score"}
+            docs = spark.createDataFrame(rows, docs.schema)
+
+
 def test_op_names():
     assert [f"op{n}_" for n in range(1, 11)] == [re.match(r"op\d+_", n)[0] for n in sorted(registry.queries(), key=lambda n: int(re.search(r"\d+", n)[0]))]
