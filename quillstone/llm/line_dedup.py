@@ -1,8 +1,9 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
-A line's set holds its character shingles: the first ``width`` characters from each word's
-beginning on. Their hashes are put in several orders by XOR masks; the least values under a few
-masks make a band, and bands are bucket keys. Equal lines are one class; the classes of a bucket
+A line's set holds its character shingles, the ``width`` characters from each of its characters
+on. (``op9_fuzzy_line_dedup`` takes those at the beginnings of words only, as its SQL does.)
+Their hashes are put in several orders by XOR masks; the least values under a few masks make a
+band, and bands are bucket keys. Equal lines are one class; the classes of a bucket
 are linked by stars, confirmed by exact Jaccard similarity (see ``stars``), components found by
 distributed union-find, and the first line of each component is kept.
 """
@@ -18,6 +19,9 @@ from quillstone.llm.components import components
 from quillstone.llm.scratch import Scratch
 from quillstone.llm.stars import ODD, confirmed_links, pick
 
+#: Places of a line that are cut into shingles out of one block.
+BLOCK = 32
+
 
 def _masks(n: int) -> list[int]:
     """n fixed 64-bit masks (a multiplicative sequence), as signed numbers."""
@@ -29,10 +33,23 @@ def _xor(mask: int) -> Callable[[Column], Column]:
     return lambda x: x.bitwiseXOR(F.lit(mask))
 
 
-def shingles(line: str, width: int) -> Column:
-    """Distinct hashes of the ``width`` characters that follow each word's beginning."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{width}}}))[^ ]* ?"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+def shingles(line: str, width: int, whole: bool) -> Column:
+    """Distinct hashes of the ``width`` characters at each place of a line, or at each word's beginning.
+
+    A line that is shorter is one shingle; at words, the last ones may be shorter too.
+    """
+    if not whole:
+        found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{width}}}))[^ ]* ?"), F.lit(1))
+        return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+    # Substrings are found by counting from the beginning: short blocks keep that linear in the line.
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{BLOCK + width - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    found = F.filter(found, lambda x, k: (k == 0) | (F.char_length(x) >= width))
+
+    def cut(block: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.char_length(block) - (width - 1), F.lit(1)))
+        return F.transform(places, lambda k: F.xxhash64(F.substring(block, k, F.lit(width))))
+
+    return F.array_distinct(F.flatten(F.transform(found, cut)))
 
 
 def _bands(own: str, bands: int, rows: int) -> Column:
@@ -62,12 +79,12 @@ def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def duplicate_lines(
-    docs: DataFrame, scratch: Scratch, *, text_col: str, width: int, similarity: float, bands: int, rows: int
+    docs: DataFrame, scratch: Scratch, *, text_col: str, width: int, similarity: float, bands: int, rows: int, whole: bool
 ) -> DataFrame:
     """(k1, k2, id, no) of each class of equal lines of which some line must go: the place that stays, or nulls."""
     percent = round(100 * similarity)
     lines = _numbered(docs, text_col)
-    own = lines.withColumn("own", shingles("line", width)).select(
+    own = lines.withColumn("own", shingles("line", width, whole)).select(
         "id", "no", "k1", "k2", F.size("own").cast("long").alias("n"), _bands("own", bands, rows).alias("bands")
     )
     classes = own.groupBy("k1", "k2").agg(
@@ -82,24 +99,32 @@ def duplicate_lines(
     own_sets: list[DataFrame] = []
 
     def ready(reps: DataFrame) -> None:
-        """(rep, own): the shingles of classes, cut out of the documents where they first stand."""
+        """(rep, own): the lines of classes, cut out of the documents where they first stand, or their shingles.
+
+        Sets of whole lines take many times the lines' room, so they are made where they are compared.
+        """
         ids = reps.join(classes.select("rep", "first", "k1"), "rep").groupBy("first.id").agg(F.collect_list(F.struct("first.no", "rep", "k1")).alias("at"))
         ids = scratch.save(ids, "line-ids")
         texts = pick(docs.select("id", text_col), ids, ids.count(), "inner").select(F.explode("at").alias("x"), F.split(text_col, "\n", -1).alias("parts"))
         found = texts.select("x.rep", "x.k1", F.get("parts", F.col("x.no")).alias("line"))
         # An id may stand on several rows: the line is that of the class, once.
         found = found.where(F.xxhash64("line") == F.col("k1")).dropDuplicates(["rep"])
-        own_sets.append(scratch.save(found.select("rep", shingles("line", width).alias("own")), "line-sets"))
+        own = F.col("line") if whole else shingles("line", width, whole)
+        own_sets.append(scratch.save(found.select("rep", own.alias("own")), "line-sets"))
+
+    def set_of(own: str) -> Column:
+        return shingles(own, width, whole) if whole else F.col(own)
 
     def shared(pairs: DataFrame) -> DataFrame:
         own = own_sets[0]
         out = pairs.join(own.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a").join(
             own.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b"
         )
-        return out.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
+        return out.select("a", "b", F.size(F.array_intersect(set_of("x"), set_of("y"))).cast("long").alias("shared"))
 
     def sketches(reps: DataFrame) -> DataFrame:
-        return own_sets[0].join(reps, "rep", "left_semi").select("rep", _parity("own").alias("odd"))
+        own = own_sets[0].join(reps, "rep", "left_semi").select("rep", set_of("own").alias("own"))
+        return own.select("rep", _parity("own").alias("odd"))
 
     found = components(confirmed_links(classes, shared, sketches, percent, scratch, ready), scratch)
     near = found.select(F.col("node").alias("rep"), "component").unionByName(
@@ -115,12 +140,13 @@ def duplicate_lines(
 
 def deduplicate_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 12, similarity: float = 0.8,
-    bands: int = 8, rows: int = 2,
+    bands: int = 8, rows: int = 2, whole: bool = True,
 ) -> DataFrame:
     """All columns of ``docs`` with the text without its duplicate lines, n_lines and n_kept.
 
     Lines are parted by newlines. Two lines are linked if the Jaccard similarity of their shingle
-    sets is ``similarity`` at least; equal lines always are. Of each component, the line with the
+    sets is ``similarity`` at least; equal lines always are. The sets hold the shingles at every
+    character, or at the beginnings of words only if ``whole`` is false. Of each component, the line with the
     smallest (id, line number) is kept, all others go. With 8 bands of two values a pair at 0.8
     is missed by all buckets with a probability of 3e-4, a closer one less. Blank lines stay and
     are not compared. A null text stays null with 0 lines. Rows with a null id keep all their
@@ -130,7 +156,7 @@ def deduplicate_lines(
     scratch = Scratch(docs.sparkSession, "line-dedup")
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     going = scratch.save(
-        duplicate_lines(named, scratch, text_col="text", width=width, similarity=similarity, bands=bands, rows=rows), "going"
+        duplicate_lines(named, scratch, text_col="text", width=width, similarity=similarity, bands=bands, rows=rows, whole=whole), "going"
     )
     places = _numbered(named, "text").select("id", "no", "k1", "k2")
     stay = going.select("k1", "k2", F.col("id").alias("stay_id"), F.col("no").alias("stay_no"))

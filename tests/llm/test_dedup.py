@@ -179,6 +179,24 @@ def test_lines(spark):
     assert deduplicate_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def _kept_lines(spark, lines):
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    return {r.doc_id for r in deduplicate_lines(df).collect() if r.n_kept}
+
+
+def test_lines_without_spaces_and_with_long_words(spark):
+    rng = random.Random(4)
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(90))
+    word = "".join(rng.choice("abcdefghij") for _ in range(90))
+    lines = [
+        "https://www.example.com/a/report", "https://www.example.com/minutes",  # the same beginning, other texts
+        chinese, chinese[:12] + chinese[:11:-1], "x" + chinese,  # another end; a near copy with another beginning
+        f"see {word}", f"see {word[:40]}{word[:39:-1]}", f"see {word}.",
+        "id\t1\tname\tred", "id\t1\tname\tblue", "\U0001f600" * 20 + "a", "short", "shore",
+    ]
+    assert _kept_lines(spark, lines) == set(range(len(lines))) - {4, 7}
+
+
 def test_line_dedup_is_native(spark):
     df = deduplicate_lines(spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
