@@ -197,6 +197,32 @@ def test_lines_without_spaces_and_with_long_words(spark):
     assert _kept_lines(spark, lines) == set(range(len(lines))) - {4, 7}
 
 
+def _line_groups(lines):
+    """The first line of each component of pairs at 0.8 or more on the shingles of whole lines."""
+    sets = [{x[k : k + 12] for k in range(max(1, len(x) - 11))} for x in lines]
+    comp = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    return set(comp)
+
+
+def test_lines_near_the_threshold_against_brute_force(spark):
+    rng = random.Random(8)
+    lines = []
+    for _ in range(50):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 6, 25]))) for _ in range(rng.choice([4, 15, 40]))]
+        lines.append(" ".join(words))
+        # Changes of one long or many short words move the two kinds of sets by different shares.
+        for _ in range(3):
+            own = list(words)
+            for _ in range(rng.randint(1, max(1, len(own) // 8))):
+                own[rng.randrange(len(own))] = "".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 25])))
+            lines.append(" ".join(own))
+    assert _kept_lines(spark, lines) == _line_groups(lines)
+
+
 def test_line_dedup_is_native(spark):
     df = deduplicate_lines(spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
