@@ -2,8 +2,8 @@
 
 A line's set holds its character shingles, the ``width`` characters from each of its characters
 on. (``op9_fuzzy_line_dedup`` takes those at the beginnings of words only, as its SQL does.)
-Their hashes are put in several orders by XOR masks; the least values under a few masks make a
-band, and bands are bucket keys. Equal lines are one class; the classes of a bucket
+Their hashes are hashed again with a seed for each of several orders; the least values of a few
+orders make a band, and bands are bucket keys. Equal lines are one class; the classes of a bucket
 are linked by stars, confirmed by exact Jaccard similarity (see ``stars``), components found by
 distributed union-find, and the first line of each component is kept.
 """
@@ -23,14 +23,8 @@ from quillstone.llm.stars import ODD, confirmed_links, pick
 BLOCK = 32
 
 
-def _masks(n: int) -> list[int]:
-    """n fixed 64-bit masks (a multiplicative sequence), as signed numbers."""
-    values = [(k * 0x9E3779B97F4A7C15) % (1 << 64) for k in range(1, n + 1)]
-    return [v - (1 << 64) if v >> 63 else v for v in values]
-
-
-def _xor(mask: int) -> Callable[[Column], Column]:
-    return lambda x: x.bitwiseXOR(F.lit(mask))
+def _seeded(seed: int) -> Callable[[Column], Column]:
+    return lambda x: F.xxhash64(F.lit(seed), x)
 
 
 def shingles(line: str, width: int, whole: bool) -> Column:
@@ -53,7 +47,7 @@ def shingles(line: str, width: int, whole: bool) -> Column:
 
 
 def _bands(own: str, bands: int, rows: int) -> Column:
-    least = [F.array_min(F.transform(own, _xor(m))) for m in _masks(bands * rows)]
+    least = [F.array_min(F.transform(own, _seeded(k))) for k in range(bands * rows)]
     return F.array(*(F.xxhash64(F.lit(b), *least[b * rows : (b + 1) * rows]) for b in range(bands)))
 
 
