@@ -1,172 +1,174 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
-A line's set holds its character shingles, the ``width`` characters from each of its characters
-on. (``op9_fuzzy_line_dedup`` takes those at the beginnings of words only, as its SQL does.)
-Their hashes are hashed again with a seed for each of several orders; the least values of a few
-orders make a band, and bands are bucket keys. Equal lines are one class; the classes of a bucket
-are linked by stars, confirmed by exact Jaccard similarity (see ``stars``), components found by
-distributed union-find, and the first line of each component is kept.
+A line's set holds its character shingles: the ``width`` characters from each of its characters on.
+Each shingle is hashed once and falls into one of a few bins; the bins' least values are the
+signature (one-permutation MinHash), where an empty bin takes the value of the first occupied one in an order
+of its own. The values of a few bins make a band, and bands are bucket keys. Equal lines are one
+class; the classes of a bucket are linked by stars, confirmed by exact Jaccard similarity (see ``stars``),
+components found by distributed union-find, and the first line of each component is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
-from quillstone.llm.scratch import Scratch
-from quillstone.llm.stars import ODD, confirmed_links, pick
+from quillstone.llm.scratch import Scratch, quoted
+from quillstone.llm.stars import confirmed_links, paired, pick
 
-#: Places of a line that are cut into shingles out of one block.
-BLOCK = 32
+#: Bytes of a character in the fixed-width form in which lines are cut.
+WIDE = 4
 
 
-def _seeded(seed: int) -> Callable[[Column], Column]:
-    return lambda x: F.xxhash64(F.lit(seed), x)
+def _places(wide: Column, width: int) -> Column:
+    """Where the shingles of a line begin, as 1-based bytes; a line that is shorter is one shingle."""
+    last = F.greatest(F.length(wide) - (WIDE * width - 1), F.lit(1))
+    return F.sequence(F.lit(1), last, F.lit(WIDE))
 
 
-def shingles(line: str, width: int, whole: bool) -> Column:
-    """Distinct hashes of the ``width`` characters at each place of a line, or at each word's beginning.
-
-    A line that is shorter is one shingle; at words, the last ones may be shorter too.
-    """
-    if not whole:
-        found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{width}}}))[^ ]* ?"), F.lit(1))
-        return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
-    # Substrings are found by counting from the beginning: short blocks keep that linear in the line.
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{BLOCK + width - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
-    found = F.filter(found, lambda x, k: (k == 0) | (F.char_length(x) >= width))
-
-    def cut(block: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.char_length(block) - (width - 1), F.lit(1)))
-        return F.transform(places, lambda k: F.xxhash64(F.substring(block, k, F.lit(width))))
-
-    return F.array_distinct(F.flatten(F.transform(found, cut)))
+def shingles(line: Column, width: int) -> Column:
+    """Hashes of the ``width`` characters at each place of a line, in order; equal shingles repeat."""
+    # The outer lambda binds the bytes once; a column read in the inner one would be copied for every place.
+    whole = F.transform(
+        F.array(F.encode(line, "UTF-32")),
+        lambda w: F.transform(_places(w, width), lambda p: F.xxhash64(F.substring(w, p, F.lit(WIDE * width)))),
+    )
+    return whole[0]
 
 
-def _bands(own: str, bands: int, rows: int) -> Column:
-    least = [F.array_min(F.transform(own, _seeded(k))) for k in range(bands * rows)]
-    return F.array(*(F.xxhash64(F.lit(b), *least[b * rows : (b + 1) * rows]) for b in range(bands)))
+def bin_orders(bins: int) -> list[list[int]]:
+    """For each bin the bins that it takes its value from, itself first."""
+    out = []
+    for k in range(bins):
+        others = [x for x in range(bins) if x != k]
+        random.Random(1000 + k).shuffle(others)
+        out.append([k, *others])
+    return out
 
 
-def _parity(own: str) -> Column:
-    """A parity sketch: hashes flip bits, of the word that their next bits name."""
-    one = F.lit(1).cast("long")
-    flip = lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))
+def bucket_keys(bands: int, rows: int) -> Column:
+    """Bands of the bins' least values ``m0``, ``m1``, ..., some of which may be null."""
+    full = [F.coalesce(*(F.col(f"m{k}") for k in order)) for order in bin_orders(bands * rows)]
+    return F.array(*(F.xxhash64(F.lit(b), *full[b * rows : (b + 1) * rows]) for b in range(bands)))
 
-    def word(k: int) -> Column:
-        mine = F.filter(own, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(ODD - 1)) == k)
-        return F.aggregate(mine, F.lit(0).cast("long"), flip)
 
-    return F.array(*(word(k) for k in range(ODD)))
+def least_of_bins(bins: int) -> list[Column]:
+    """Aggregates of the shingles ``h`` with their ``bin``."""
+    return [F.expr(f"min(h) FILTER (WHERE bin = {k})").alias(f"m{k}") for k in range(bins)]
 
 
-def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
-    """Every line that is not blank, with its place and two hashes that name it."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """Every line that is not blank of (id, version, text), with its place and a hash."""
     return (
-        docs.select("id", F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("no", "line"))
+        docs.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
         .where("trim(both ' \t\r' from line) != ''")
-        .select("id", "no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+        .withColumn("k1", F.xxhash64("line"))
     )
 
 
+def _second(line: str = "line") -> Column:
+    """With k1, what names a line."""
+    return F.xxhash64(F.lit(1), line)
+
+
+def line_classes(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(k1, k2, lines, bands) of each class of equal lines."""
+    bins = bands * rows
+    wide = _lines(docs).select("k1", _second().alias("k2"), F.encode("line", "UTF-32").alias("wide"))
+    cut = wide.select("k1", "k2", "wide", F.explode(_places(F.col("wide"), width)).alias("p"))
+    hashed = cut.select("k1", "k2", "p", F.xxhash64(F.substring("wide", F.col("p"), F.lit(WIDE * width))).alias("h"))
+    hashed = hashed.withColumn("bin", F.col("h").bitwiseAND(F.lit(bins - 1)) if bins & (bins - 1) == 0 else F.pmod("h", F.lit(bins)))
+    found = hashed.groupBy("k1", "k2").agg(F.expr("count(1) FILTER (WHERE p = 1)").alias("lines"), *least_of_bins(bins))
+    return found.select("k1", "k2", "lines", bucket_keys(bands, rows).alias("bands"))
+
+
 def duplicate_lines(
-    docs: DataFrame, scratch: Scratch, *, text_col: str, width: int, similarity: float, bands: int, rows: int, whole: bool
+    docs: DataFrame, scratch: Scratch, *, width: int, similarity: float, bands: int, rows: int
 ) -> DataFrame:
-    """(k1, k2, id, no) of each class of equal lines of which some line must go: the place that stays, or nulls."""
+    """(k1, k2, component) of each class of equal lines of which some line must go."""
     percent = round(100 * similarity)
-    lines = _numbered(docs, text_col)
-    own = lines.withColumn("own", shingles("line", width, whole)).select(
-        "id", "no", "k1", "k2", F.size("own").cast("long").alias("n"), _bands("own", bands, rows).alias("bands")
-    )
-    classes = own.groupBy("k1", "k2").agg(
-        F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"),
-        F.first("bands").alias("bands"),
-    )
     # Stars form around the least id: lines with more copies get smaller ones.
     scarcity = F.lit(63) - F.floor(F.log2("lines"))
     rep = F.call_function("shiftleft", scarcity.cast("long"), F.lit(57)) + F.monotonically_increasing_id()
-    classes = scratch.save(classes.select(rep.alias("rep"), "*"), "line-classes")
-
-    own_sets: list[DataFrame] = []
+    classes = scratch.save(line_classes(docs, width, bands, rows).select(rep.alias("rep"), "*"), "line-classes")
+    kept: list[DataFrame] = []
 
     def ready(reps: DataFrame) -> None:
-        """(rep, own): the lines of classes, cut out of the documents where they first stand, or their shingles.
-
-        Sets of whole lines take many times the lines' room, so they are made where they are compared.
-        """
-        ids = reps.join(classes.select("rep", "first", "k1"), "rep").groupBy("first.id").agg(F.collect_list(F.struct("first.no", "rep", "k1")).alias("at"))
-        ids = scratch.save(ids, "line-ids")
-        texts = pick(docs.select("id", text_col), ids, ids.count(), "inner").select(F.explode("at").alias("x"), F.split(text_col, "\n", -1).alias("parts"))
-        found = texts.select("x.rep", "x.k1", F.get("parts", F.col("x.no")).alias("line"))
-        # An id may stand on several rows: the line is that of the class, once.
-        found = found.where(F.xxhash64("line") == F.col("k1")).dropDuplicates(["rep"])
-        own = F.col("line") if whole else shingles("line", width, whole)
-        own_sets.append(scratch.save(found.select("rep", own.alias("own")), "line-sets"))
-
-    def set_of(own: str) -> Column:
-        return shingles(own, width, whole) if whole else F.col(own)
+        """(rep, n, own): a line of each class that shares a bucket, and its number of shingles."""
+        keys = scratch.save(classes.join(reps, "rep", "left_semi").select("rep", "k1", F.col("k2").alias("second")), "line-keys")
+        found = pick(_lines(docs).select("k1", "line"), keys, keys.count(), "inner", "k1").where(_second() == F.col("second"))
+        found = found.select("rep", "line").dropDuplicates(["rep"])
+        n = F.size(F.array_distinct(shingles(F.col("line"), width))).cast("long")
+        kept.append(scratch.save(found.select("rep", n.alias("n"), F.col("line").alias("own")), "line-texts"))
 
     def shared(pairs: DataFrame) -> DataFrame:
-        own = own_sets[0]
-        out = pairs.join(own.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a").join(
-            own.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b"
-        )
-        return out.select("a", "b", F.size(F.array_intersect(set_of("x"), set_of("y"))).cast("long").alias("shared"))
+        both = F.array_intersect(shingles(F.col("x"), width), shingles(F.col("y"), width))
+        return paired(pairs, kept[0], percent, scratch).select("a", "b", "na", "nb", F.size(both).cast("long").alias("shared"))
 
-    def sketches(reps: DataFrame) -> DataFrame:
-        own = own_sets[0].join(reps, "rep", "left_semi").select("rep", set_of("own").alias("own"))
-        return own.select("rep", _parity("own").alias("odd"))
+    def sets(reps: DataFrame) -> DataFrame:
+        return kept[0].join(reps, "rep").select("rep", "comp", F.array_distinct(shingles(F.col("own"), width)).alias("own"))
 
-    found = components(confirmed_links(classes, shared, sketches, percent, scratch, ready), scratch)
+    found = components(confirmed_links(classes, shared, sets, percent, scratch, ready), scratch)
     near = found.select(F.col("node").alias("rep"), "component").unionByName(
         found.select(F.col("component").alias("rep"), "component").distinct()
     )
-    members = classes.select("rep", "k1", "k2", "first", "lines").join(near, "rep", "left")
-    alone = members.where("component is null and lines > 1").select("k1", "k2", "first.*")
-    tied = members.where("component is not null")
-    stays = tied.groupBy("component").agg(F.min("first").alias("stay"))
-    tied = tied.join(stays, "component").select("k1", "k2", "stay.*")
-    return alone.unionByName(tied)
+    members = classes.select("rep", "k1", "k2", "lines").join(near, "rep", "left").where("component is not null or lines > 1")
+    return members.select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+
+
+def _without(text: Column, gone: str) -> Column:
+    """The lines of a text but for the ascending places in ``gone``, by the stretches between them."""
+
+    def left(parts: Column) -> Column:
+        begin = F.concat(F.array(F.lit(-1)), F.col(gone))
+        end = F.concat(F.col(gone), F.array(F.size(parts)))
+        return F.flatten(F.zip_with(begin, end, lambda b, e: F.slice(parts, b + 2, e - b - 1)))
+
+    return F.transform(F.array(F.split(text, "\n", -1)), left)[0]
 
 
 def deduplicate_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 12, similarity: float = 0.8,
-    bands: int = 8, rows: int = 2, whole: bool = True,
+    bands: int = 8, rows: int = 2,
 ) -> DataFrame:
     """All columns of ``docs`` with the text without its duplicate lines, n_lines and n_kept.
 
-    Lines are parted by newlines. Two lines are linked if the Jaccard similarity of their shingle
-    sets is ``similarity`` at least; equal lines always are. The sets hold the shingles at every
-    character, or at the beginnings of words only if ``whole`` is false. Of each component, the line with the
-    smallest (id, line number) is kept, all others go. With 8 bands of two values a pair at 0.8
-    is missed by all buckets with a probability of 3e-4, a closer one less. Blank lines stay and
-    are not compared. A null text stays null with 0 lines. Rows with a null id keep all their
-    lines; rows that repeat an id each keep the lines kept under it. An empty table gives an
-    empty result; extra columns pass through, but for n_lines and n_kept, which are replaced.
+    Lines are parted by newlines. Two lines are linked if the Jaccard similarity of the sets of
+    their ``width``-character shingles, taken at every character of the whole line, is ``similarity`` at
+    least (a shorter line is one shingle); equal lines always are. Of each component, the line with the smallest
+    (id, line number) is kept, all others go. With 8 bands of two values a pair at 0.8
+    is missed by all buckets with a probability of some 5e-4, a closer one less.
+
+    Blank lines stay and are not compared. A null text stays null with 0 lines; an empty one has one, blank, line. Rows
+    with a null id keep all their lines. Rows that repeat an id with another text are documents of
+    their own, with the same text they keep the same lines, those of either. Ties between equal (id, line number) go by a hash of the text.
+    Very long texts and lines are read whole, in one task. An empty table gives an
+    empty result. Columns of any names pass through, but for n_lines and n_kept, which are replaced.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    whole = docs.select(F.struct("*").alias("row"))
+    text = F.col("row").getField(text_col).cast("string")
+    keyed = whole.select("row", F.col("row").getField(id_col).cast("long").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    named = keyed.select("id", "version", "text").where("id is not null")
     going = scratch.save(
-        duplicate_lines(named, scratch, text_col="text", width=width, similarity=similarity, bands=bands, rows=rows, whole=whole), "going"
-    )
-    places = _numbered(named, "text").select("id", "no", "k1", "k2")
-    stay = going.select("k1", "k2", F.col("id").alias("stay_id"), F.col("no").alias("stay_no"))
-    gone = pick(places, stay, going.count(), "inner", ["k1", "k2"]).where("id != stay_id or no != stay_no")
-    gone = scratch.save(gone.groupBy("id").agg(F.collect_set("no").alias("__gone")), "gone-lines")
-    gone = gone.withColumnRenamed("id", "__id")
-    out = docs.drop("n_lines", "n_kept").withColumn("__id", F.col(id_col).cast("long"))
-    out = pick(out, gone, gone.count(), "left", "__id")
-    parts = F.split(F.col(text_col).cast("string"), "\n", -1)
-    left = F.when(F.col("__gone").isNull(), parts).otherwise(
-        F.filter(parts, lambda x, k: ~F.array_contains("__gone", k))
-    )
-    size = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    return out.select(
-        *(c for c in docs.columns if c not in (text_col, "n_lines", "n_kept")),
-        F.array_join(left, "\n").alias(text_col),
-        F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(left)).cast("long").alias("n_kept"),
+        duplicate_lines(named, scratch, width=width, similarity=similarity, bands=bands, rows=rows), "going"
     )
+    keys = going.select("k1", F.col("k2").alias("second"), "component")
+    found = pick(_lines(named), keys, keys.count(), "inner", "k1").where(_second() == F.col("second"))
+    found = scratch.save(found.select("id", "version", "no", "component"), "copies")
+    stays = found.groupBy("component").agg(F.min(F.struct("id", "no", "version")).alias("stay"))
+    stays = scratch.save(stays.select("component", F.col("stay.id").alias("i"), F.col("stay.version").alias("v"), F.col("stay.no").alias("k")), "stays")
+    gone = pick(found, stays, stays.count(), "inner", "component").where("id != i or version != v or no != k")
+    gone = scratch.save(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("no")).alias("gone")), "gone")
+    size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("items")).first()
+    out = pick(keyed, gone, size["n"], "left", ["id", "version"], size["items"])
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    # A document that loses all its lines keeps an empty text.
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_without(F.col("text"), "gone"), "\n"))
+    row = F.col("row").withField(quoted(text_col), left).dropFields("n_lines", "n_kept")
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return out.select(row.alias("row"), n_lines.alias("n_lines"), (n_lines - n_gone).alias("n_kept")).select("row.*", "n_lines", "n_kept")
+

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import textblocks as tb
 from quillstone.llm.components import components
-from quillstone.llm.scratch import Scratch
-from quillstone.llm.stars import ODD, confirmed_links, pick
+from quillstone.llm.scratch import Scratch, quoted
+from quillstone.llm.stars import confirmed_links, paired, pick
 
 U64 = np.uint64
 
@@ -57,22 +57,15 @@ def signature(own: np.ndarray, bins: int, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def parity(own: np.ndarray) -> np.ndarray:
-    """The parity sketch of a set."""
-    bits = np.bincount((own & U64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
 def _sketcher(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = borrow_order(bands * rows)
         weights = tb.stream(23, rows) | U64(1)
         salt = tb.stream(25, bands)
         for batch in batches:
-            n, high, low, keys, odd = [], [], [], [], []
+            n, high, low, keys = [], [], [], []
             for own in shingle_sets(batch.column(1), words):
                 n.append(len(own))
-                odd.append(parity(own))
                 high.append(np.bitwise_xor.reduce(tb.mix(own + U64(1))) if len(own) else U64(0))
                 low.append(np.add.reduce(tb.mix(own ^ U64(0x5851F42D4C957F2D))) if len(own) else U64(0))
                 if len(own):
@@ -87,9 +80,8 @@ def _sketcher(words: int, bands: int, rows: int):
                     pa.array(np.array(high, U64).view(np.int64)),
                     pa.array(np.array(low, U64).view(np.int64)),
                     pa.array(keys, pa.list_(pa.int64())),
-                    pa.array(odd, pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "high", "low", "bands", "odd"],
+                names=["id", "n", "high", "low", "bands"],
             )
 
     return run
@@ -99,13 +91,14 @@ def _setter(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [own.tobytes() for own in shingle_sets(batch.column(1), words)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            n = pa.array([len(own) // 8 for own in sets], pa.int64())
+            yield pa.record_batch([batch.column(0), n, pa.array(sets, pa.binary())], names=["rep", "n", "own"])
 
     return run
 
 
 def _sharer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, shared) from the sorted sets of both sides of a pair."""
+    """(a, b, na, nb, shared) from the sorted sets x and y of both sides of a pair."""
     for batch in batches:
         shared = []
         for x, y in zip(batch.column("x"), batch.column("y")):
@@ -113,32 +106,35 @@ def _sharer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both.sort(kind="stable")
             shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
         yield pa.record_batch(
-            [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())], names=["a", "b", "shared"]
+            [*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"]
         )
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as arrays of longs."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("own")]
+        yield pa.record_batch([batch.column("rep"), batch.column("comp"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "comp", "own"])
+
+
 class _Sets:
-    """The full sets of classes that occur in some pair."""
+    """The full sets of classes that share a bucket with others."""
 
-    def __init__(self, texts: DataFrame, words: int, scratch: Scratch):
-        self.texts, self.words, self.scratch = texts, words, scratch
+    def __init__(self, texts: DataFrame, words: int, percent: int, scratch: Scratch):
+        self.texts, self.words, self.percent, self.scratch = texts, words, percent, scratch
 
-    def shared(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, shared) of saved pairs (a, b)."""
-        ids = self.scratch.save(
-            pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids"
-        )
+    def ready(self, reps: DataFrame) -> None:
+        ids = self.scratch.save(reps.select(F.col("rep").alias("id")), "ids")
         picked = pick(self.texts, ids, ids.count()).dropDuplicates(["id"])
-        sets = self.scratch.save(picked.mapInArrow(_setter(self.words), "id long, shingles binary"), "sets")
-        joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(
-            sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"
-        )
-        out = self.scratch.save(
-            joined.select("a", "b", "x", "y").mapInArrow(_sharer, "a long, b long, shared long"), "shared"
-        )
-        self.scratch.drop(sets)
-        self.scratch.drop(ids)
-        return out
+        self.own = self.scratch.save(picked.mapInArrow(_setter(self.words), "rep long, n long, own binary"), "sets")
+
+    def shared(self, pairs: DataFrame) -> DataFrame:
+        met = paired(pairs, self.own, self.percent, self.scratch)
+        return met.mapInArrow(_sharer, "a long, b long, na long, nb long, shared long")
+
+    def elements(self, reps: DataFrame) -> DataFrame:
+        own = self.own.join(reps, "rep").select("rep", "comp", "own")
+        return own.mapInArrow(_elements, "rep long, comp long, own array<long>")
 
 
 def near_duplicates(
@@ -161,26 +157,27 @@ def near_duplicates(
     Texts that are null or have no words have empty sets and are linked with nothing. Repeated
     rows get the same component, and so do different texts under one id, whose links are looked
     for from one of the texts. A row with a null id stands alone:
-    its component is null and it is kept. Further columns of ``docs`` are ignored; an empty table
-    gives an empty result.
+    its component is null and it is kept. Very long texts are read whole, in one task. Further columns
+    of ``docs`` are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     percent = round(100 * similarity)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     sketch = scratch.save(
         texts.mapInArrow(
-            _sketcher(words, bands, rows), "id long, n long, high long, low long, bands array<long>, odd array<long>"
+            _sketcher(words, bands, rows), "id long, n long, high long, low long, bands array<long>"
         ),
         "sketch",
     )
     known = sketch.where("n > 0 and id is not null")
     classes = scratch.save(
         known.groupBy("high", "low", "n")
-        .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
+        .agg(F.min("id").alias("rep"), F.first("bands").alias("bands")),
         "classes",
     )
-    links = confirmed_links(classes, _Sets(texts, words, scratch).shared, lambda reps: classes.join(reps, "rep", "left_semi"), percent, scratch)
+    sets = _Sets(texts, words, percent, scratch)
+    links = confirmed_links(classes, sets.shared, sets.elements, percent, scratch, sets.ready)
     # A class ties the ids of its copies together, and so an id of several texts its classes.
     copies = known.join(classes.select("high", "low", "n", "rep"), ["high", "low", "n"]).where("id != rep")
     every = components(

@@ -69,8 +69,7 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL compares lines by the shingles at the beginnings of their words.
-    return deduplicate_lines(table(spark, sf_dir, "documents"), whole=False).select(
+    return deduplicate_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_kept", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     )
 
@@ -83,7 +82,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_bytes",
         size.alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("right(payload, 16)")).alias("tail_crc32"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", "frames", F.size("segments"), F.sha2("tensors", 256)).alias("feature"),

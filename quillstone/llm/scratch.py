@@ -37,6 +37,11 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(ARROW_ROWS, rows)
 
 
+def quoted(name: str) -> str:
+    """A column's name as one identifier, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Scratch:
     """Intermediate tables of one run. Lost executors only recompute from the last written table."""
 

@@ -61,16 +61,18 @@ WITH RECURSIVE ls AS (
 ),
 full_lines AS (SELECT doc_id, no, line FROM ls WHERE trim(line, ' ' || chr(9) || chr(13)) != ''),
 classes AS (SELECT line, row_number() OVER (ORDER BY min((doc_id, no))) AS k, min((doc_id, no)) AS place FROM full_lines GROUP BY line),
-words AS (SELECT k, string_split(line, ' ') AS ws FROM classes),
 sets AS (
-  SELECT k, list_distinct(list_filter(list_transform(range(1, len(ws) + 1),
-    lambda i: left(array_to_string(ws[i:i + 11], ' '), 12)), lambda x: x != '')) AS s
-  FROM words
+  SELECT k, list_distinct(list_transform(range(1, greatest(length(line) - 11, 1) + 1), lambda i: substr(line, i, 12))) AS s FROM classes
 ),
 items AS (SELECT k, len(s) AS n, unnest(s) AS g FROM sets),
+often AS (SELECT g, count(*) AS f FROM items GROUP BY g HAVING count(*) > 1),
+ranked AS (SELECT k, n, g, f, row_number() OVER (PARTITION BY k ORDER BY coalesce(f, 1), g) AS r FROM items LEFT JOIN often USING (g)),
+heads AS (SELECT k, n, g FROM ranked WHERE f > 1 AND 100 * (n - r + 1) >= 80 * n),
+near AS (
+  SELECT DISTINCT x.k AS a, y.k AS b FROM heads x JOIN heads y ON x.g = y.g AND x.k < y.k AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+),
 shared AS (
-  SELECT x.k AS a, y.k AS b, count(*) AS i, any_value(x.n) AS na, any_value(y.n) AS nb
-  FROM items x JOIN items y ON x.g = y.g AND x.k < y.k AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY ALL
+  SELECT a, b, len(list_intersect(x.s, y.s)) AS i, len(x.s) AS na, len(y.s) AS nb FROM near JOIN sets x ON x.k = a JOIN sets y ON y.k = b
 ),
 links AS (SELECT a, b FROM shared WHERE 100 * i >= 80 * (na + nb - i)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),

@@ -1,126 +1,121 @@
 """Links between classes of equal sets: star-shaped candidates in buckets, confirmed on full sets.
 
 In each bucket every class is paired with the least one (a star), so candidates are bounded by
-bucket entries. Where that leaves a bucket in several components, pairs of different components are
-confirmed too, from whoever is outside the largest one, apart from those that set sizes, the
-triangle inequality of the Jaccard distance or the sets' parity sketches rule out, so that a star
-loses no link that its bucket holds. A parity sketch flips one bit for each element: two sets differ
-in as many elements as their sketches in bits, at least.
+bucket entries. A star loses the links between members that its center does not reach. Where the
+confirmed links leave a bucket's members in several components, these members are joined once more,
+by the prefix filter: elements are put into one order, the presumably rare ones first, and two sets of the
+asked similarity share an element among the first few of both. That join is exact and takes nobody's
+place in a bucket for a reason to compare, so frequent elements, or templates, make no pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
 from quillstone.llm.scratch import Scratch
 
-#: 64-bit words of a parity sketch.
-ODD = 16
-#: Ids that may be broadcast (16 bytes each) to pick rows out of a scan; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Rows are broadcast up to this many bytes, as estimated by ``pick``; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64
+#: Counters that elements are folded into to tell rare ones from frequent ones.
+CELL_BITS = 18
+#: Sets whose elements one task orders, and tasks at most; with more sets, tasks hold more.
+TASK_SETS, MOST_TASKS = 1000, 20_000
+#: Pairs of one center that meet it in one task.
+SPREAD = 256
 
 
-def pick(rows: DataFrame, ids: DataFrame, n: int, how: str = "left_semi", on: str = "id") -> DataFrame:
-    """``rows`` joined with the ``n`` rows of ``ids``, which are broadcast only within the bound."""
-    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, on, how)
+def pick(rows: DataFrame, ids: DataFrame, n: int, how: str = "left_semi", on: str | list[str] = "id", items: int = 0) -> DataFrame:
+    """``rows`` joined with the ``n`` rows of ``ids``, which are broadcast only within the bound.
+
+    Rows of ``ids`` are a few numbers each; ``items`` more numbers may stand in their lists.
+    """
+    small = n * ROW_BYTES + items * 8 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(ids) if small else ids, on, how)
 
 
-def _alike(a: Column, b: Column, percent: int) -> Column:
+def alike(a: str, b: str, percent: int) -> Column:
     """Sizes that allow the similarity."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def paired(pairs: DataFrame, own: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Written pairs (a, b) with the sizes na, nb and the sets x, y of both, from ``own`` (rep, n, own).
+
+    Only pairs whose sizes allow the similarity. Centers with many partners are dealt to several tasks.
+    """
+    heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPREAD)
+    heavy = scratch.save(heavy.select("a", F.ceil(F.col("n") / SPREAD).cast("int").alias("parts")), "heavy")
+    n = heavy.count()
+    salted = pick(pairs, heavy, n, "left", "a").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("salt"))
+    left = salted.join(own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("y")), "b")
+    right = pick(own.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("own").alias("x")), heavy, n, "left", "a")
+    right = right.select("a", "na", "x", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    met = left.join(right, ["a", "salt"])
+    return met.where(alike("na", "nb", percent)).select("a", "b", "na", "nb", "x", "y")
+
+
 def confirmed_links(
-    classes: DataFrame, shared: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch,
+    classes: DataFrame, shared: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch,
     ready: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """(a, b): edges with the components of all links between classes that share a bucket.
 
-    ``classes`` is a written table (rep, n, bands): an id, the set's size and its bucket keys.
-    ``shared`` gives (a, b, shared), the sizes of intersections, for a written table of pairs (a, b);
-    ``sketches`` gives the parity sketches (rep, odd), of ``ODD`` words, of a written table (rep).
-    ``ready`` is told before which classes share a bucket with others, as (rep).
+    ``classes`` is a written table (rep, bands) of ids and bucket keys. ``shared`` gives
+    (a, b, na, nb, shared), sizes of sets and of their intersection, of a written table of pairs (a, b), and
+    may leave out pairs whose sizes rule the similarity out. ``sets`` adds the distinct elements
+    (own, an array of longs) to a written table (rep, comp). ``ready`` is told before which classes
+    share a bucket with others, as (rep).
     """
-    entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    centers = (
-        entries.groupBy("bucket")
-        .agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last"))
-        .where("c.rep != last")
-        .select("bucket", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
-    )
-    members = scratch.save(entries.join(centers, "bucket"), "members")
+    entries = classes.select("rep", F.explode("bands").alias("bucket"))
+    centers = entries.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"))
+    centers = scratch.save(centers.where("center != last").select("bucket", "center"), "centers")
+    members = scratch.save(pick(entries, centers, centers.count(), "inner", "bucket"), "members")
+    scratch.drop(centers)
     if ready is not None:
         ready(members.select("rep").distinct())
-    star = scratch.save(
-        members.where((F.col("rep") != F.col("center")) & _alike(F.col("n"), F.col("center_n"), percent))
-        .groupBy(F.col("center").alias("a"), F.col("rep").alias("b"))
-        .agg(F.first("center_n").alias("na"), F.first("n").alias("nb")),
-        "star",
-    )
-    overlap = scratch.save(_with_total(star, shared), "overlap")
-    linked = F.col("shared") * 100 >= F.col("total") * percent
-    links = components(overlap.where(linked).select("a", "b"), scratch)
-    placed = scratch.save(_mixed(_placed(members, overlap), links), "mixed")
-    reps = scratch.save(placed.select("rep").distinct(), "reps")
-    odd = sketches(reps).select("rep", *(F.col("odd")[k].alias(f"o{k}") for k in range(ODD)))
-    state = scratch.save(placed.join(odd, "rep"), "state")
-    rest = scratch.save(_possible(_sides(state), percent), "rest")
-    more = _with_total(rest, shared).where(linked).select("a", "b")
+    around = members.where("rep != center")
+    star = scratch.save(around.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    linked = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent
+    links = components(scratch.save(shared(star).where(linked).select("a", "b"), "linked"), scratch)
+    scratch.drop(star)
+    rest = scratch.save(_missed(_unsettled(around, links, scratch), sets, percent, scratch), "rest")
+    scratch.drop(members)
+    more = shared(rest).where(linked).select("a", "b")
     return links.toDF("a", "b").unionByName(more)
 
 
-def _with_total(pairs: DataFrame, shared: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return pairs.join(shared(pairs), ["a", "b"]).withColumn("total", F.col("na") + F.col("nb") - F.col("shared"))
-
-
-def _placed(members: DataFrame, overlap: DataFrame) -> DataFrame:
-    """Members other than centers (bucket, rep, n, s), with their similarity to the center."""
-    share = overlap.select(F.col("a").alias("center"), F.col("b").alias("rep"), (F.col("shared") / F.col("total")).alias("s"))
-    return members.where("rep != center").join(share, ["center", "rep"], "left").drop("center", "center_n")
-
-
-def _mixed(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components, with ``comp``."""
+def _unsettled(around: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, comp) of classes in buckets whose members other than the center are in several components."""
     own = links.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    rows = placed.join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    rows = scratch.save(around.join(own, "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    return rows.join(mixed.select("bucket"), "bucket", "left_semi")
-
-
-def _sides(state: DataFrame) -> DataFrame:
-    """Who is outside a bucket's largest component, beside those of its other components; each pair once a bucket."""
-    sizes = state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-    most = sizes.groupBy("bucket").agg(F.max_by("comp", "size").alias("most"))
-    state = state.join(most, "bucket").withColumn("outside", F.col("comp") != F.col("most")).drop("most")
-    left = state.where("outside").select(*(F.col(c).alias(f"{c}_1") for c in state.columns))
-    once = ~F.col("outside") | (F.col("rep_1") < F.col("rep"))
-    return left.join(state, (F.col("bucket_1") == F.col("bucket")) & (F.col("comp_1") != F.col("comp")) & once)
-
-
-def _possible(sides: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) that no bound rules out."""
-    differ = F.lit(0)
-    for k in range(ODD):
-        differ = differ + F.bit_count(F.col(f"o{k}").bitwiseXOR(F.col(f"o{k}_1")))
-    slack = 1 - percent / 100 + 1e-9
-    pairs = sides.where(
-        _alike(F.col("n"), F.col("n_1"), percent)
-        & (differ * (100 + percent) <= (F.col("n") + F.col("n_1")) * (100 - percent))
-        # Where sizes already ruled a pair with the center out, s is null and gives no bound.
-        & F.coalesce(F.abs(F.col("s") - F.col("s_1")) <= slack, F.lit(True))
-    )
-    low = F.col("rep") < F.col("rep_1")
-    return (
-        pairs.select(
-            F.least("rep", "rep_1").alias("a"),
-            F.greatest("rep", "rep_1").alias("b"),
-            F.when(low, F.col("n")).otherwise(F.col("n_1")).alias("na"),
-            F.when(low, F.col("n_1")).otherwise(F.col("n")).alias("nb"),
-        )
-        .groupBy("a", "b")
-        .agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+    mixed = scratch.save(mixed.select("bucket"), "mixed")
+    return scratch.save(pick(rows, mixed, mixed.count(), "left_semi", "bucket").select("rep", "comp").distinct(), "unsettled")
+
+
+def _missed(reps: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """Distinct pairs (a, b) of different components that pass the prefix filter."""
+    parts = min(max(1, reps.count() // TASK_SETS), MOST_TASKS)
+    own = sets(reps).repartition(parts, "rep")
+    items = own.select("rep", "comp", F.size("own").cast("long").alias("n"), F.explode("own").alias("h"))
+    cell = F.shiftrightunsigned("h", 64 - CELL_BITS)
+    cells = items.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("often"))
+    first = Window.partitionBy("rep").orderBy("often", "h")
+    placed = items.withColumn("cell", cell).join(F.broadcast(cells), "cell").withColumn("at", F.row_number().over(first))
+    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = scratch.save(placed.where((F.col("at") <= keep) & (F.col("often") > 1)).select("h", "rep", "comp", "n", "at"), "prefix")
+    # Elements that only one component has make no pairs, however many members it has.
+    across = prefix.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("h")
+    prefix = scratch.save(prefix.join(across, "h", "left_semi"), "across")
+    x, y = (prefix.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "comp", "n", "at"))) for k in "xy")
+    most = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    met = x.join(y, "h").where(
+        (F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & alike("n_x", "n_y", percent)
+        & (most * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
     )
+    return met.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
