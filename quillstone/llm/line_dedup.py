@@ -96,22 +96,23 @@ def duplicate_lines(
     classes = scratch.save(line_classes(docs, width, bands, rows).select(rep.alias("rep"), "*"), "line-classes")
     kept: list[DataFrame] = []
 
-    def ready(reps: DataFrame) -> None:
+    def ready(reps: DataFrame) -> DataFrame:
         """(rep, n, own): a line of each class that shares a bucket, and its number of shingles."""
         keys = scratch.save(classes.join(reps, "rep", "left_semi").select("rep", "k1", F.col("k2").alias("second")), "line-keys")
         found = pick(_lines(docs).select("k1", "line"), keys, keys.count(), "inner", "k1").where(_second() == F.col("second"))
         found = found.select("rep", "line").dropDuplicates(["rep"])
         n = F.size(F.array_distinct(shingles(F.col("line"), width))).cast("long")
         kept.append(scratch.save(found.select("rep", n.alias("n"), F.col("line").alias("own")), "line-texts"))
+        return kept[0]
 
     def shared(pairs: DataFrame) -> DataFrame:
         both = F.array_intersect(shingles(F.col("x"), width), shingles(F.col("y"), width))
         return paired(pairs, kept[0], percent, scratch).select("a", "b", "na", "nb", F.size(both).cast("long").alias("shared"))
 
     def sets(reps: DataFrame) -> DataFrame:
-        return kept[0].join(reps, "rep").select("rep", "comp", F.array_distinct(shingles(F.col("own"), width)).alias("own"))
+        return kept[0].join(reps.select("rep", "comp"), "rep").select("rep", "comp", F.array_distinct(shingles(F.col("own"), width)).alias("own"))
 
-    found = components(confirmed_links(classes, shared, sets, percent, scratch, ready), scratch)
+    found = components(confirmed_links(classes, ready, shared, sets, percent, scratch), scratch)
     near = found.select(F.col("node").alias("rep"), "component").unionByName(
         found.select(F.col("component").alias("rep"), "component").distinct()
     )

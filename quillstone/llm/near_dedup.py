@@ -123,17 +123,18 @@ class _Sets:
     def __init__(self, texts: DataFrame, words: int, percent: int, scratch: Scratch):
         self.texts, self.words, self.percent, self.scratch = texts, words, percent, scratch
 
-    def ready(self, reps: DataFrame) -> None:
+    def ready(self, reps: DataFrame) -> DataFrame:
         ids = self.scratch.save(reps.select(F.col("rep").alias("id")), "ids")
         picked = pick(self.texts, ids, ids.count()).dropDuplicates(["id"])
         self.own = self.scratch.save(picked.mapInArrow(_setter(self.words), "rep long, n long, own binary"), "sets")
+        return self.own
 
     def shared(self, pairs: DataFrame) -> DataFrame:
         met = paired(pairs, self.own, self.percent, self.scratch)
         return met.mapInArrow(_sharer, "a long, b long, na long, nb long, shared long")
 
     def elements(self, reps: DataFrame) -> DataFrame:
-        own = self.own.join(reps, "rep").select("rep", "comp", "own")
+        own = self.own.join(reps.select("rep", "comp"), "rep").select("rep", "comp", "own")
         return own.mapInArrow(_elements, "rep long, comp long, own array<long>")
 
 
@@ -177,7 +178,7 @@ def near_duplicates(
         "classes",
     )
     sets = _Sets(texts, words, percent, scratch)
-    links = confirmed_links(classes, sets.shared, sets.elements, percent, scratch, sets.ready)
+    links = confirmed_links(classes, sets.ready, sets.shared, sets.elements, percent, scratch)
     # A class ties the ids of its copies together, and so an id of several texts its classes.
     copies = known.join(classes.select("high", "low", "n", "rep"), ["high", "low", "n"]).where("id != rep")
     every = components(
