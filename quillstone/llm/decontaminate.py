@@ -19,10 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from quillstone.llm import textblocks as tb
-from quillstone.llm.scratch import Scratch
+from quillstone.llm.scratch import Scratch, quoted
 
 U64 = np.uint64
 BITS = 20
@@ -123,64 +122,70 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["word", "docs"])
 
-    counted = docs.select("__text").mapInArrow(run, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    counted = docs.mapInArrow(run, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
     return {int(vocabulary[r["word"]]): r["docs"] for r in counted.collect()}
 
 
+def _find(texts: pa.Array, before: list[dict] | None, index: Index, final: bool) -> pa.Array:
+    """(n_words, n_hit, items) of each text, or, where more blocks follow, its hit (spans, items) so far."""
+    n_words, n_hit, spans, items = [], [], [], []
+    for at, to, found in tb.blocks(texts, tb.ALNUM_WORDS, fold=True):
+        start, window = index.hits(found)
+        end = start + index.length[window] if len(window) else start
+        of: dict[int, set[str]] = {}
+        doc = np.searchsorted(found.first, start, side="right") - 1
+        for d, w in set(zip(doc.tolist(), window.tolist())):
+            of.setdefault(d, set()).update(index.items[w])
+        if before is not None:
+            for d in range(at, to):
+                for s, e in before[d]["spans"]:
+                    start, end = np.append(start, s + found.first[d - at]), np.append(end, e + found.first[d - at])
+                if before[d]["items"]:
+                    of.setdefault(d - at, set()).update(before[d]["items"])
+        change = np.bincount(start, minlength=len(found.hash) + 1) - np.bincount(end, minlength=len(found.hash) + 1)
+        covered = np.cumsum(change[: len(found.hash)]) > 0
+        total = np.concatenate(([0], np.cumsum(covered)))
+        n_words += found.counts().tolist()
+        n_hit += (total[found.first[1:]] - total[found.first[:-1]]).tolist()
+        items += [sorted(of[d]) if d in of else [] for d in range(to - at)]
+        if not final:
+            edge = np.diff(covered.astype(np.int8), prepend=0, append=0)
+            begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            own: list[list[tuple[int, int]]] = [[] for _ in range(to - at)]
+            for s, e in zip(begin.tolist(), stop.tolist()):
+                # A covered run may cross into the next document; cut it there.
+                d = int(np.searchsorted(found.first, s, side="right")) - 1
+                while s < e:
+                    cut = min(e, int(found.first[d + 1]))
+                    if cut > s:
+                        own[d].append((s - int(found.first[d]), cut - int(found.first[d])))
+                    s, d = max(s, cut), d + 1
+            spans += own
+    if final:
+        columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+        return pa.StructArray.from_arrays(columns, names=["n_words", "n_hit", "items"])
+    columns = [pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+    return pa.StructArray.from_arrays(columns, names=["spans", "items"])
+
+
 def _finder(index: Index, began: bool, final: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_hit, spans, items = [], [], [], []
-            old_spans = batch.column("__spans").to_pylist() if began else None
-            old_items = batch.column("__items").to_pylist() if began else None
-            for at, to, found in tb.blocks(batch.column("__text"), tb.ALNUM_WORDS, fold=True):
-                start, window = index.hits(found)
-                end = start + index.length[window] if len(window) else start
-                of: dict[int, set[str]] = {}
-                doc = np.searchsorted(found.first, start, side="right") - 1
-                for d, w in set(zip(doc.tolist(), window.tolist())):
-                    of.setdefault(d, set()).update(index.items[w])
-                if began:
-                    for d in range(at, to):
-                        for s, e in old_spans[d] or ():
-                            start, end = np.append(start, s + found.first[d - at]), np.append(end, e + found.first[d - at])
-                        if old_items[d]:
-                            of.setdefault(d - at, set()).update(old_items[d])
-                change = np.bincount(start, minlength=len(found.hash) + 1) - np.bincount(end, minlength=len(found.hash) + 1)
-                covered = np.cumsum(change[: len(found.hash)]) > 0
-                total = np.concatenate(([0], np.cumsum(covered)))
-                n_words += found.counts().tolist()
-                n_hit += (total[found.first[1:]] - total[found.first[:-1]]).tolist()
-                items += [sorted(of[d]) if d in of else [] for d in range(to - at)]
-                if not final:
-                    edge = np.diff(covered.astype(np.int8), prepend=0, append=0)
-                    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                    own: list[list[tuple[int, int]]] = [[] for _ in range(to - at)]
-                    for s, e in zip(begin.tolist(), stop.tolist()):
-                        # A covered run may cross into the next document; cut it there.
-                        d = int(np.searchsorted(found.first, s, side="right")) - 1
-                        while s < e:
-                            cut = min(e, int(found.first[d + 1]))
-                            if cut > s:
-                                own[d].append((s - int(found.first[d]), cut - int(found.first[d])))
-                            s, d = max(s, cut), d + 1
-                    spans += own
-            columns = {c: batch.column(c) for c in batch.schema.names if c not in ("__text", "__spans", "__items")}
-            if final:
-                columns |= {
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "items": pa.array(items, pa.list_(pa.string())),
-                }
-            else:
-                columns |= {
-                    "__text": batch.column("__text"),
-                    "__spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                    "__items": pa.array(items, pa.list_(pa.string())),
-                }
-            yield pa.record_batch(list(columns.values()), names=list(columns))
-
-    return run
+    """A function of the text, and of what earlier blocks of windows found in it."""
+    kind = "n_words long, n_hit long, items array<string>" if final else "spans array<array<bigint>>, items array<string>"
+    if began:
+
+        @F.arrow_udf(kind)
+        def more(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for texts, before in batches:
+                yield _find(texts, before.to_pylist(), index, final)
+
+        return more
+
+    @F.arrow_udf(kind)
+    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _find(texts, None, index, final)
+
+    return first
 
 
 def contamination(
@@ -188,7 +193,7 @@ def contamination(
     items: DataFrame,
     *,
     text_col: str = "text",
-    keep: tuple[str, ...] = ("doc_id",),
+    keep: tuple[str, ...] | None = ("doc_id",),
     item_col: str = "item_id",
     width: int = 10,
     block_windows: int = 200_000,
@@ -200,46 +205,41 @@ def contamination(
     word is hit if it lies in any occurrence of a window; ``items`` are the sorted ids, as strings,
     of items with occurring windows. Null texts have no words; items without words or with a null
     id are ignored; rows of ``items`` that share an id are one item. Rows of ``docs`` are
-    judged one by one, so repeated rows and null ids keep their own results. Columns not in ``keep``
-    are ignored. Empty tables are allowed: without items nothing is hit.
+    judged one by one, so repeated rows and null ids keep their own results; very long texts are read whole. Columns
+    not in ``keep`` are ignored, and those in it may not have the name of a result; if it is None, a
+    struct ``row`` of all columns, of any names, stands in their place. Empty tables are allowed: without items nothing is hit.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
-    texts = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    kept = StructType([texts.schema[c] for c in keep])
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    # Rows stay in the JVM; only texts, and what was found in them, pass through Python.
+    current = docs.select(F.struct("*").alias("row"))
+    text = F.col("row").getField(text_col).cast("string")
     windows = scratch.save(
-        items.where(F.col(item_col).isNotNull())
-        .select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+        items.where(F.col(quoted(item_col)).isNotNull())
+        .select(F.col(quoted(item_col)).cast("string").alias("item"), F.col("text").cast("string").alias("text"))
         .mapInArrow(lambda b: windows_of(b, width), "item string, words array<long>")
         .groupBy("words")
         .agg(F.collect_set("item").alias("items")),
         "windows",
     )
     n_blocks = max(1, -(-windows.count() // block_windows))
-    current, began = texts, False
+    texts = current.select(text.alias("text"))
     for block in range(n_blocks):
         own = windows.where(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == block) if n_blocks > 1 else windows
-        rows = own.toArrow()
-        index = Index(
-            [np.asarray(w, np.int64).view(U64) for w in rows.column("words").to_pylist()],
-            rows.column("items").to_pylist(),
-        )
-        vocabulary = np.unique(np.concatenate(index.words)) if index.words else np.zeros(0, U64)
+        rows = own.toArrow().combine_chunks()
+        words, names = rows.column("words").combine_chunks(), rows.column("items").to_pylist()
+        values, cut = np.asarray(words.values, np.int64).view(U64), np.asarray(words.offsets)
+        index = Index([values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], names)
+        vocabulary = np.unique(values)
         index.order(_frequencies(texts, vocabulary) if len(vocabulary) else {})
         final = block == n_blocks - 1
-        schema = "n_words long, n_hit long, items array<string>" if final else "__text string, __spans array<array<long>>, __items array<string>"
-        schema = StructType(kept.fields + StructType.fromDDL(schema).fields)
-        current = current.mapInArrow(_finder(index, began, final), schema)
-        began = True
+        found = _finder(index, block > 0, final)(text, *(["found"] if block else []))
+        current = current.select("row", found.alias("found"))
         if not final and block % STAGED == STAGED - 1:
             current = scratch.save(current, "spans")
+    kept = [F.col("row").getField(c).alias(c) for c in keep] if keep is not None else ["row"]
     return current.select(
-        *keep,
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        "items",
-        (F.col("n_hit") > 0).alias("contaminated"),
+        *kept, "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), "found.items",
+        (F.col("found.n_hit") > 0).alias("contaminated"),
     )
 
 

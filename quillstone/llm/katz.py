@@ -1,15 +1,15 @@
 """Katz backoff language model over words, trained and evaluated in shards.
 
-P(w | v) is the Good-Turing discounted relative frequency of the bigram where it was seen, and
-alpha(v) P(w) else; alpha(v) is normalised exactly, from the mass that the discounts of v's own
-bigrams leave and from the unigram mass of the words not seen after v. P(w) is Good-Turing
-discounted too, its left-over mass is the unknown word's.
+P(w | context) is the Good-Turing discounted relative frequency of the n-gram where it was seen, and
+else alpha(context) times P(w | the context without its first word), and so on; alpha is normalised
+exactly, from the mass that the discounts of the context's own n-grams leave and from the mass that the order
+below gives to words not seen after the context. P(w) is Good-Turing discounted too, its left-over
+mass is the unknown word's.
 
 Texts are encoded once, in blocks, as numbers into the block's own vocabulary, and written. Counts
-live in shards: of words by their hash, of bigrams by their context. A block asks the shards
-for what it holds, each distinct word or bigram once, and evaluates every token from the answers:
-the bigram if it was seen, or else its context's backoff weight and the word. Requests and answers
-are columns of numbers, compressed; frequent contexts are split over shards.
+live in shards: of words by their hash, of n-grams by their context. Order after order, a block asks the shards
+for what it holds, each distinct word or n-gram once, with its probability one order below, and evaluates every token
+from the answers. Requests and answers are columns of numbers, compressed; frequent contexts are split over shards.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import textblocks as tb
 from quillstone.llm.scratch import Scratch
-from quillstone.llm.shards import answers_by_block, batch_of, by_shard, cuts, expand, shard_bits, sharded, squeeze
+from quillstone.llm.shards import answers_by_block, batch_of, by_shard, cuts, expand, expand_few, shard_bits, sharded, squeeze, squeeze_few
 
 U64 = np.uint64
 #: Hash of the end token, and the number of the context before the first word.
@@ -149,35 +149,52 @@ class Unigrams:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
-class Pairs:
-    """A block's distinct bigrams in the order of its requests."""
+@dataclass
+class Backoff:
+    """Discounts of bigrams, and the sums of contexts that are split over shards."""
+
+    d: np.ndarray
+    v: np.ndarray
+    few: np.ndarray
+    mass: np.ndarray
+
+
+class Block:
+    """A block's tokens: numbers into its vocabulary, whose counts and names the shards have told."""
 
-    def __init__(self, row: dict, bits: int, train_docs: int, hot: float):
+    def __init__(self, row: dict):
         answers = sorted(row["words"], key=lambda r: r["shard"])
         self.count = np.concatenate([expand(r["count"]) for r in answers])
-        number = np.concatenate([expand(r["number"]) for r in answers])
+        self.number = np.concatenate([expand(r["number"]) for r in answers])
         self.n = expand(row["n"]).astype(np.int64)
         self.stream = expand(row["stream"], np.uint32).astype(np.int64)
-        train = expand(row["train"], np.uint8).astype(bool)
-        size = len(number)
-        before = np.empty_like(self.stream)
-        before[1:] = self.stream[:-1]
-        before[np.concatenate(([0], np.cumsum(self.n)[:-1]))] = size
-        both, at = np.unique(before * size + self.stream, return_inverse=True)
-        v, w = both // size, both % size
-        context = np.append(self.count, U64(train_docs))[v]
-        v, self.w_count = np.append(number, BEGIN)[v], self.count[w]
-        w = number[w]
+        self.train = np.repeat(expand(row["train"], np.uint8).astype(bool), self.n)
+        self.first = np.concatenate(([0], np.cumsum(self.n)[:-1]))
+
+
+class Grams:
+    """A block's distinct n-grams of one order, in the order of its requests.
+
+    ``context`` numbers each token's context into ``name`` and ``times``, its name for all blocks and its
+    count; tokens where ``good`` does not hold have none. ``low`` is each token's probability after the shorter context.
+    """
+
+    def __init__(self, block: Block, context: np.ndarray, name: np.ndarray, times: np.ndarray, low: np.ndarray, good: np.ndarray, bits: int, hot: float):
+        size, at = len(block.number), np.flatnonzero(good)
+        both, first, of = np.unique(context[at] * size + block.stream[at], return_index=True, return_inverse=True)
+        c, w = both // size, block.number[both % size]
+        v, many = name[c], times[c]
         # A frequent context is dealt over as many shards as it fills.
-        split = np.maximum(np.ceil(context / hot), 1).astype(U64)
+        split = np.maximum(np.ceil(many / hot), 1).astype(U64)
         shard = (tb.mix(v) + tb.mix(w) % split) & U64((1 << bits) - 1)
-        seen = np.bincount(at[np.repeat(train, self.n)], minlength=len(both))
+        seen = np.bincount(of[block.train[at]], minlength=len(both))
         by = np.lexsort((w, v, shard))
         self.v, self.w, self.shard, self.seen = v[by], w[by], shard[by], seen[by].astype(U64)
-        self.context, self.w_count, self.split = context[by], self.w_count[by], split[by] > 1
+        self.context, self.low, self.split = many[by], low[at][first][by], split[by] > 1
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        self.at = place[at]
+        self.at = np.full(len(block.stream), -1)
+        self.at[at] = place[of]
 
     def parts(self, bits: int) -> Iterator[tuple[int, int, int]]:
         cut = np.searchsorted(self.shard, np.arange((1 << bits) + 1, dtype=U64))
@@ -185,118 +202,151 @@ class Pairs:
             if b > a:
                 yield s, a, b
 
+    def values(self, answers: list[dict], backoff: Backoff) -> tuple[np.ndarray, np.ndarray]:
+        """Training count and probability of each n-gram."""
+        answers = sorted(answers, key=lambda r: r["shard"])
+        if not answers:
+            return np.zeros(0, U64), np.zeros(0)
+        r = np.concatenate([expand(x["count"]) for x in answers])
+        few = np.concatenate([expand(x["few"], np.uint32) for x in answers]).reshape(-1, GT).astype(np.float64)
+        mass = np.concatenate([expand_few(x["mass"]) for x in answers])
+        # A context begins anew where the shard changes: as the requests had it.
+        new = np.concatenate(([True], (self.v[1:] != self.v[:-1]) | (self.shard[1:] != self.shard[:-1])))
+        of = np.cumsum(new) - 1
+        v, context = self.v[new], self.context[new].astype(np.float64)
+        if len(backoff.v):
+            place = np.minimum(np.searchsorted(backoff.v, v), len(backoff.v) - 1)
+            here = backoff.v[place] == v
+            few[here], mass[here] = backoff.few[place[here]], backoff.mass[place[here]]
+        # Mass that discounting takes from the context's own n-grams, over what unseen words have.
+        left = (few * np.arange(1, GT + 1) * (1 - backoff.d[1:])).sum(axis=1) / np.maximum(context, 1)
+        # A context without discounted n-grams gives half a count to unseen words.
+        scale = np.where((left > 0) | (context == 0), 1.0, context / (context + 0.5))
+        left = np.where(left > 0, left, 1 - scale)
+        alpha = np.where(context > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+        d = np.where(r <= GT, backoff.d[np.minimum(r, U64(GT)).astype(np.int64)], 1.0)
+        return r, np.where(r > 0, scale[of] * d * r / np.maximum(context[of], 1), alpha[of] * self.low)
+
+
+@dataclass
+class Orders:
+    """What all blocks know: the unigrams, and the backoff of each order from the second that is counted."""
+
+    bits: int
+    hot: float
+    train_docs: int
+    unigrams: Unigrams
+    backoffs: list[Backoff]
+
+    def climb(self, block: Block, row: dict) -> tuple[Grams, np.ndarray]:
+        """The n-grams of the order after those that are counted, and each token's log10 probability below it.
+
+        An order's probability is that of its n-gram where it was seen, and else its context's backoff weight
+        times the probability one order below, and so on down to the unigrams.
+        """
+        size = len(block.number)
+        context = np.empty_like(block.stream)
+        context[1:] = block.stream[:-1]
+        context[block.first] = size
+        value = self.unigrams.p(block.count)[block.stream]
+        name, times = np.append(block.number, BEGIN), np.append(block.count, U64(self.train_docs))
+        good = np.ones(len(value), bool)
+        grams = Grams(block, context, name, times, value, good, self.bits, self.hot)
+        for k, backoff in enumerate(self.backoffs):
+            r, p = grams.values(row[f"grams{k + 2}"] or [], backoff)
+            good = grams.at >= 0
+            value = value.copy()
+            value[good] = p[grams.at[good]]
+            # The context of the next order is the n-gram that ends before the token, in the same document.
+            context = np.full(len(value), -1)
+            context[1:] = grams.at[:-1]
+            context[block.first] = -1
+            name = tb.mix(tb.mix(grams.v + U64(k + 1)) ^ (grams.w * U64(0x9E3779B97F4A7C15)))
+            grams = Grams(block, context, name, r, value, context >= 0, self.bits, self.hot)
+        return grams, value
+
 
 def runs(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end."""
     return np.append(np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))), len(values))
 
 
-def _pair_requests(bits: int, train_docs: int, hot: float):
+def _gram_requests(orders: Orders):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-        names = ["shard", "block", "v", "many", "split", "w", "w_count", "seen"]
+        names = ["shard", "block", "v", "many", "split", "w", "low", "seen"]
         for batch in batches:
             for row in batch.to_pylist():
                 tb.release()
-                p = Pairs(row, bits, train_docs, hot)
+                g, _ = orders.climb(Block(row), row)
                 rows = []
-                for s, a, b in p.parts(bits):
-                    at = runs(p.v[a:b])
-                    v = p.v[a:b][at[:-1]]
+                for s, a, b in g.parts(orders.bits):
+                    at = runs(g.v[a:b])
+                    v = g.v[a:b][at[:-1]]
                     rows.append((
-                        s, row["block"], squeeze(v), squeeze(np.diff(at).astype(U64)), squeeze(p.split[a:b][at[:-1]].astype(np.uint8)),
-                        squeeze(p.w[a:b]), squeeze(p.w_count[a:b]), squeeze(p.seen[a:b]),
+                        s, row["block"], squeeze(v), squeeze(np.diff(at).astype(U64)), squeeze(g.split[a:b][at[:-1]].astype(np.uint8)),
+                        squeeze(g.w[a:b]), squeeze_few(g.low[a:b]), squeeze(g.seen[a:b]),
                     ))
                 yield batch_of(rows, kinds, names)
 
     return run
 
 
-def _pair_answers(unigrams: Unigrams):
-    """For each request its bigrams' counts, and what the backoff of its contexts needs where one was not seen."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["block", "shard", "count", "few", "mass"]
-        for rows in by_shard(batches):
-            vs, many = [expand(r["v"]) for r in rows], [expand(r["many"]).astype(np.int64) for r in rows]
-            ws = [expand(r["w"]) for r in rows]
-            contexts, v_of = np.unique(np.concatenate(vs), return_inverse=True)
-            v = np.repeat(v_of, np.concatenate(many))
-            w = np.concatenate(ws)
-            words, w_of = np.unique(w, return_inverse=True)
-            keys, first, at = np.unique(v * len(words) + w_of, return_index=True, return_inverse=True)
-            count = np.bincount(at, weights=np.concatenate([expand(r["seen"]) for r in rows]), minlength=len(keys)).astype(U64)
-            kept = count > 0
-            owner = (keys // len(words))[kept]
-            p = unigrams.p(np.concatenate([expand(r["w_count"]) for r in rows])[first][kept])
-            mass = np.bincount(owner, weights=p, minlength=len(contexts))
-            few = np.stack([np.bincount(owner[count[kept] == r], minlength=len(contexts)) for r in range(1, GT + 1)], axis=1).astype(np.uint32)
-            out, pair_at, v_at = [], 0, 0
-            for r, own_v, own_w in zip(rows, vs, ws):
-                got = count[at[pair_at : pair_at + len(own_w)]]
-                c = v_of[v_at : v_at + len(own_v)]
-                out.append((r["block"], r["shard"], squeeze(got), squeeze(few[c].ravel()), squeeze(mass[c])))
-                pair_at, v_at = pair_at + len(own_w), v_at + len(own_v)
-            r, n = np.unique(count[count <= GT + 1], return_counts=True)
-            out.append((None, rows[0]["shard"], squeeze(np.concatenate((r, n.astype(U64)))), None, None))
-            split = np.unique(np.concatenate([x[expand(r["split"], np.uint8) > 0] for x, r in zip(vs, rows)]))
-            if len(split):
-                c = np.searchsorted(contexts, split)
-                out.append((None, rows[0]["shard"], squeeze(split), squeeze(few[c].ravel()), squeeze(mass[c])))
-            yield batch_of(out, kinds, names)
-
-    return run
-
-
-@dataclass
-class Backoff:
-    """Discounts of bigrams, and the sums of contexts that are split over shards."""
-
-    d: np.ndarray
-    v: np.ndarray
-    few: np.ndarray
-    mass: np.ndarray
-
-
-def _scorer(bits: int, train_docs: int, hot: float, unigrams: Unigrams, backoff: Backoff):
+def _gram_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each request its n-grams' counts, and what the backoff of its contexts needs where one was not seen."""
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["block", "shard", "count", "few", "mass"]
+    for rows in by_shard(batches):
+        vs, many = [expand(r["v"]) for r in rows], [expand(r["many"]).astype(np.int64) for r in rows]
+        ws = [expand(r["w"]) for r in rows]
+        contexts, v_of = np.unique(np.concatenate(vs), return_inverse=True)
+        v = np.repeat(v_of, np.concatenate(many))
+        w = np.concatenate(ws)
+        words, w_of = np.unique(w, return_inverse=True)
+        keys, first, at = np.unique(v * len(words) + w_of, return_index=True, return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([expand(r["seen"]) for r in rows]), minlength=len(keys)).astype(U64)
+        kept = count > 0
+        owner = (keys // len(words))[kept]
+        low = np.concatenate([expand_few(r["low"]) for r in rows])[first][kept]
+        mass = np.bincount(owner, weights=low, minlength=len(contexts))
+        few = np.stack([np.bincount(owner[count[kept] == r], minlength=len(contexts)) for r in range(1, GT + 1)], axis=1).astype(np.uint32)
+        out, gram_at, v_at = [], 0, 0
+        for r, own_v, own_w in zip(rows, vs, ws):
+            got = count[at[gram_at : gram_at + len(own_w)]]
+            c = v_of[v_at : v_at + len(own_v)]
+            out.append((r["block"], r["shard"], squeeze(got), squeeze(few[c].ravel()), squeeze_few(mass[c])))
+            gram_at, v_at = gram_at + len(own_w), v_at + len(own_v)
+        r, n = np.unique(count[count <= GT + 1], return_counts=True)
+        out.append((None, rows[0]["shard"], squeeze(np.concatenate((r, n.astype(U64)))), None, None))
+        split = np.unique(np.concatenate([x[expand(r["split"], np.uint8) > 0] for x, r in zip(vs, rows)]))
+        if len(split):
+            c = np.searchsorted(contexts, split)
+            out.append((None, rows[0]["shard"], squeeze(split), squeeze(few[c].ravel()), squeeze_few(mass[c])))
+        yield batch_of(out, kinds, names)
+
+
+def _scorer(orders: Orders):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, ids in zip(batch.drop_columns(["ids"]).to_pylist(), batch.column("ids")):
                 tb.release()
-                p = Pairs(row, bits, train_docs, hot)
-                answers = sorted(row["pairs"], key=lambda r: r["shard"])
-                r = np.concatenate([expand(x["count"]) for x in answers])
-                few = np.concatenate([expand(x["few"], np.uint32) for x in answers]).reshape(-1, GT).astype(np.float64)
-                mass = np.concatenate([expand(x["mass"], np.float64) for x in answers])
-                # A context begins anew where the shard changes: as the requests had it.
-                new = np.concatenate(([True], (p.v[1:] != p.v[:-1]) | (p.shard[1:] != p.shard[:-1])))
-                of = np.cumsum(new) - 1
-                v, context = p.v[new], p.context[new].astype(np.float64)
-                if len(backoff.v):
-                    place = np.minimum(np.searchsorted(backoff.v, v), len(backoff.v) - 1)
-                    here = backoff.v[place] == v
-                    few[here], mass[here] = backoff.few[place[here]], backoff.mass[place[here]]
-                # Mass that discounting takes from the context's own bigrams, over what unseen words have.
-                left = (few * np.arange(1, GT + 1) * (1 - backoff.d[1:])).sum(axis=1) / np.maximum(context, 1)
-                # A context without discounted bigrams gives half a count to unseen words.
-                scale = np.where((left > 0) | (context == 0), 1.0, context / (context + 0.5))
-                left = np.where(left > 0, left, 1 - scale)
-                alpha = np.where(context > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
-                d = np.where(r <= GT, backoff.d[np.minimum(r, U64(GT)).astype(np.int64)], 1.0)
-                low = alpha[of] * unigrams.p(p.w_count)
-                value = np.log10(np.where(r > 0, scale[of] * d * r / np.maximum(context[of], 1), low))
-                doc = np.repeat(np.arange(len(p.n)), p.n)
-                total = lambda x: np.bincount(doc, weights=x, minlength=len(p.n))  # noqa: B023, E731
-                count = p.count[p.stream]
+                block = Block(row)
+                last = Orders(orders.bits, orders.hot, orders.train_docs, orders.unigrams, orders.backoffs[:-1])
+                grams, value = last.climb(block, row)
+                _, p = grams.values(row[f"grams{len(orders.backoffs) + 1}"] or [], orders.backoffs[-1])
+                value, good = value.copy(), grams.at >= 0
+                value[good] = p[grams.at[good]]
+                doc = np.repeat(np.arange(len(block.n)), block.n)
+                total = lambda x: np.bincount(doc, weights=x, minlength=len(block.n))  # noqa: B023, E731
+                count = block.count[block.stream]
                 yield pa.record_batch(
                     [
                         ids.values,
-                        pa.array(p.n),
+                        pa.array(block.n),
                         pa.array(total(count > 0).astype(np.int64)),
-                        pa.array(np.full(len(p.n), unigrams.total)),
-                        pa.array(total(unigrams.base(count))),
-                        pa.array(total(value[p.at])),
+                        pa.array(np.full(len(block.n), orders.unigrams.total)),
+                        pa.array(total(orders.unigrams.base(count))),
+                        pa.array(total(np.log10(value))),
                     ],
                     names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
@@ -305,14 +355,14 @@ def _scorer(bits: int, train_docs: int, hot: float, unigrams: Unigrams, backoff:
 
 
 def katz_scores(
-    docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", hot_context: int = 1_000_000
+    docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, hot_context: int = 1_000_000
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``.
 
     Learns from the rows for which ``train`` holds (null: not). Tokens are words
     ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end token; a null text has only that.
     ``base_score`` is add-half smoothing of the tokens' training counts, ``score`` the model's log10
-    probability of the tokens. Repeated rows and null ids are rows of their own; extra columns are
+    probability of the tokens, of n-grams up to ``order`` (2 at least) words. Very long texts are read whole, as a block of their own. Repeated rows and null ids are rows of their own; extra columns are
     ignored. With nothing to learn from, every token is the unknown word; an empty table gives an
     empty result. Contexts of more than ``hot_context`` occurrences (or a 65536th of all) are
     split over shards.
@@ -328,7 +378,6 @@ def katz_scores(
         "blocks",
     )
     size = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs")).first()
-    train_docs = size["docs"]
     bits = shard_bits(size["n"])
 
     asked = blocks.select("block", "vocabulary", "seen").mapInArrow(_word_requests(bits), "shard int, block long, words binary, seen binary")
@@ -340,24 +389,23 @@ def katz_scores(
         for c, n in zip(expand(bytes(r["count"])).tolist(), expand(bytes(r["number"])).tolist()):
             counts[c] = counts.get(c, 0) + n
     unigrams = Unigrams.of(counts)
-    hot = float(max(hot_context, unigrams.total >> 16))
+    orders = Orders(bits, float(max(hot_context, unigrams.total >> 16)), size["docs"], unigrams, [])
 
     told = answers_by_block(words, "shard", "count", "number").withColumnRenamed("got", "words")
     known = blocks.select("block", "ids", "train", "n", "stream").join(told.hint("shuffle_hash"), "block")
-    asked = known.select("block", "train", "n", "stream", "words").mapInArrow(
-        _pair_requests(bits, train_docs, hot),
-        "shard int, block long, v binary, many binary, split binary, w binary, w_count binary, seen binary",
-    )
-    pairs = scratch.save(
-        sharded(asked, bits).mapInArrow(
-            _pair_answers(unigrams), "block long, shard int, count binary, few binary, mass binary"
-        ),
-        "pairs",
-    )
-    backoff = _backoff(pairs)
-    told = answers_by_block(pairs, "shard", "count", "few", "mass").withColumnRenamed("got", "pairs")
-    scored = known.join(told.hint("shuffle_hash"), "block").mapInArrow(
-        _scorer(bits, train_docs, hot, unigrams, backoff),
+    for k in range(2, order + 1):
+        asked = known.drop("ids").mapInArrow(
+            _gram_requests(orders),
+            "shard int, block long, v binary, many binary, split binary, w binary, low binary, seen binary",
+        )
+        grams = scratch.save(
+            sharded(asked, bits).mapInArrow(_gram_answers, "block long, shard int, count binary, few binary, mass binary"), f"grams{k}"
+        )
+        orders = Orders(bits, orders.hot, orders.train_docs, unigrams, [*orders.backoffs, _backoff(grams)])
+        told = answers_by_block(grams, "shard", "count", "few", "mass").withColumnRenamed("got", f"grams{k}")
+        known = known.join(told.hint("shuffle_hash"), "block", "left")
+    scored = known.mapInArrow(
+        _scorer(orders),
         f"id {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
     return scored.withColumnRenamed("id", id_col)
@@ -375,7 +423,7 @@ def _backoff(pairs: DataFrame) -> Backoff:
                 counts[c] = counts.get(c, 0) + n
         else:
             few = expand(bytes(r["few"]), np.uint32).reshape(-1, GT)
-            for v, f, m in zip(values.tolist(), few, expand(bytes(r["mass"]), np.float64)):
+            for v, f, m in zip(values.tolist(), few, expand_few(bytes(r["mass"]))):
                 split[v] = split.get(v, 0) + np.append(f, m)
     counts.pop(0, None)
     v = np.array(sorted(split), U64)

@@ -16,10 +16,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from quillstone.llm import textblocks as tb
-from quillstone.llm.scratch import bounded_batches
+from quillstone.llm.scratch import bounded_batches, quoted
 
 U64 = np.uint64
 SLOT_BITS, PROBES = 20, 2
@@ -32,17 +31,23 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four-byte n-grams whose middle is no blank: their values, and where each document's begin."""
-    b = _FOLD[data]
+    """Four-byte n-grams whose middle is no blank, and words of one byte: their values, and where each document's begin.
+
+    A document stands between blanks (one before it, two after it), so short texts have n-grams too and none
+    reaches into the next document.
+    """
+    size = np.diff(offsets)
+    padded = np.full(len(data) + 3 * len(size), 32, np.uint8)
+    padded[np.arange(len(data)) + np.repeat(3 * np.arange(len(size)) + 1, size)] = _FOLD[data]
+    b = padded
     n = max(len(b) - 3, 0)
     wide = b.astype(np.uint32)
     value = wide[:n] | (wide[1 : n + 1] << np.uint32(8)) | (wide[2 : n + 2] << np.uint32(16)) | (wide[3 : n + 3] << np.uint32(24))
-    good = (b[1 : n + 1] != 32) & (b[2 : n + 2] != 32)
-    for cut in (1, 2, 3):  # n-grams that would cross into the next document
-        at = offsets[1:-1] - cut
-        good[at[(at >= 0) & (at < n)]] = False
-    at = np.flatnonzero(good)
-    return value[at], np.searchsorted(at, offsets)
+    blank = b == 32
+    lone = blank[:n] & ~blank[1 : n + 1] & blank[2 : n + 2]
+    value[lone] = (value[lone] & np.uint32(0xFFFFFF)) | np.uint32(32 << 24)
+    at = np.flatnonzero(lone | (~blank[1 : n + 1] & ~blank[2 : n + 2]))
+    return value[at], np.searchsorted(at, offsets + 3 * np.arange(len(offsets)))
 
 
 def slots(value: np.ndarray) -> list[np.ndarray]:
@@ -105,24 +110,27 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-    sample_docs: int = 3000, top_grams: int = 4_000,
+    sample_docs: int = 3000, top_grams: int = 4_000, most_languages: int = 1_000,
 ) -> LanguageFilter:
     """Filters of the ``top_grams`` most frequent n-grams of each language.
 
     Learns from a sample: rows are taken by a hash of their id so that about ``sample_docs`` of each
     language are expected (all of a language that has fewer). Rows with a null text or language
-    teach nothing. The driver receives ``top_grams`` rows a language.
+    teach nothing; nor do the labels beyond the ``most_languages`` most frequent ones, which are no languages in
+    number. Rarer n-grams than the ``top_grams`` are mostly names and typing errors, which any language may have;
+    with them the filters would fill up. The driver receives ``top_grams`` rows a language. An empty table gives a model that knows nothing.
     """
     rows = docs.select(
-        F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
-        F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1 << 30)).alias("draw"),
+        F.col(quoted(text_col)).cast("string").alias("text"), F.col(quoted(lang_col)).cast("string").alias("lang"),
+        F.pmod(F.xxhash64(F.lit("language sample"), F.col(quoted(id_col))), F.lit(1 << 30)).alias("draw"),
     ).where("text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    sizes = {r["lang"]: r["size"] for r in sizes.collect()}
-    if not sizes:
+    sizes = sizes.orderBy(F.desc("size"), "lang").limit(most_languages)
+    names = {r["lang"]: r["size"] for r in sizes.collect()}
+    if not names:
         return LanguageFilter([], [])
-    size = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col("lang")]
-    sample = rows.where(F.col("draw") * size < sample_docs * (1 << 30))
+    known = docs.sparkSession.createDataFrame(list(names.items()), "lang string, size long")
+    sample = rows.join(F.broadcast(known), "lang").where(F.col("draw") * F.col("size") < sample_docs * (1 << 30))
     counted = (
         sample.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -130,41 +138,43 @@ def train(
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top_grams).select("lang", "gram").toArrow()
     lang, gram = np.array(top.column("lang").to_pylist(), object), top.column("gram").to_numpy()
-    return LanguageFilter.build({x: gram[lang == x].astype(np.uint32) for x in set(lang.tolist())}, sizes)
-
-
-def _predictor(model: LanguageFilter):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.languages, "und"], object)
-        for batch in batches:
-            data, offsets = tb.flat(batch.column("__text"))
-            pick, score = [], []
-            for at, to in tb.slices(offsets):
-                own = offsets[at : to + 1]
-                block = data[own[0] : own[-1]]
-                own = own - own[0]
-                value, first = grams(block, own)
-                n = np.diff(first)
-                got = model.counts(value, first) if model.languages else np.zeros((len(n), 1))
-                letters = ((block | 32) >= 97) & ((block | 32) <= 122) & (block < 128)
-                total = np.concatenate(([0], np.cumsum(letters)))
-                letters = total[own[1:]] > total[own[:-1]]
-                for d in np.flatnonzero(~letters):  # no ASCII letter: look for any other
-                    letters[d] = bool(_LETTER.search(block[own[d] : own[d + 1]].tobytes().decode()))
-                best = got.argmax(axis=1) if model.languages else np.zeros(len(n), np.int64)
-                pick.append(np.where(letters, best, len(model.languages)))
-                share = got.max(axis=1) / np.maximum(n, 1)
-                score.append(np.where(letters, np.clip(share, 0, 1), 0.0))
-            tb.release()
-            pick = np.concatenate(pick) if pick else np.zeros(0, np.int64)
-            score = np.concatenate(score) if score else np.zeros(0)
-            carried = [c for c in batch.schema.names if c != "__text"]
-            yield pa.record_batch(
-                [*(batch.column(c) for c in carried), pa.array(names[pick].tolist(), pa.string()), pa.array(score, pa.float64())],
-                names=[*carried, "lang_pred", "score"],
-            )
-
-    return run
+    return LanguageFilter.build({x: gram[lang == x].astype(np.uint32) for x in set(lang.tolist())}, names)
+
+
+def _judge(texts: pa.Array, model: LanguageFilter) -> tuple[pa.Array, pa.Array]:
+    """The predicted language and the score of each text."""
+    names = np.array([*model.languages, "und"], object)
+    data, offsets = tb.flat(texts)
+    pick, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for at, to in tb.slices(offsets):
+        own = offsets[at : to + 1]
+        block = data[own[0] : own[-1]]
+        own = own - own[0]
+        value, first = grams(block, own)
+        n = np.diff(first)
+        got = model.counts(value, first) if model.languages else np.zeros((len(n), 1))
+        letters = ((block | 32) >= 97) & ((block | 32) <= 122) & (block < 128)
+        total = np.concatenate(([0], np.cumsum(letters)))
+        letters = total[own[1:]] > total[own[:-1]]
+        for d in np.flatnonzero(~letters):  # no ASCII letter: look for any other
+            letters[d] = bool(_LETTER.search(block[own[d] : own[d + 1]].tobytes().decode()))
+        best = got.argmax(axis=1) if model.languages else np.zeros(len(n), np.int64)
+        pick.append(np.where(letters, best, len(model.languages)))
+        share = got.max(axis=1) / np.maximum(n, 1)
+        score.append(np.where(letters, np.clip(share, 0, 1), 0.0))
+    tb.release()
+    return pa.array(names[np.concatenate(pick)].tolist(), pa.string()), pa.array(np.concatenate(score), pa.float64())
+
+
+def predicted(text: Column, model: LanguageFilter) -> Column:
+    """A struct (lang_pred, score) for a text column; nothing but the texts leaves the JVM."""
+
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.StructArray.from_arrays(_judge(texts, model), names=["lang_pred", "score"])
+
+    return judge(text.cast("string"))
 
 
 def predict(
@@ -174,15 +184,15 @@ def predict(
 
     ``score`` is the corrected share of the text's n-grams that its language contains. A text that
     is null or without letters is ``und`` with score 0, and so is every text if nothing was
-    learnt; ties go to the language with more training rows, repeated rows get equal results. Very
-    long texts are read whole. Columns that are not in ``keep`` are ignored.
+    learnt. Ties go to the language with more training rows, and with them texts that share no n-gram with
+    any language, with score 0; repeated rows get equal results. Very
+    long texts are read whole, an empty table gives an empty result. Columns that are not in ``keep`` are ignored.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = StructType([rows.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_predictor(model), schema)
+    rows = docs.select(*(F.col(quoted(c)).alias(f"k{n}") for n, c in enumerate(keep)), predicted(F.col(quoted(text_col)), model).alias("found"))
+    return rows.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), "found.lang_pred", "found.score")
 
 
 def fold(id_col: str, n: int) -> Column:
-    """crc32 of the id as text, modulo n."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
+    """crc32 of the id as text, modulo n; -1 for a null id, which is in no fold."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n)), F.lit(-1))

@@ -29,6 +29,22 @@ def expand(data: bytes, kind=np.uint64) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
+def squeeze_few(values: np.ndarray) -> bytes:
+    """Doubles of which many are equal: the distinct ones, and each one's place among them."""
+    kinds, at = np.unique(values, return_inverse=True)
+    if 2 * len(kinds) > len(values):
+        return b"\0" + squeeze(np.ascontiguousarray(values, np.float64))
+    head = squeeze(kinds)
+    return b"\1" + len(head).to_bytes(8, "little") + head + squeeze(at.astype(np.uint32))
+
+
+def expand_few(data: bytes) -> np.ndarray:
+    if data[:1] == b"\0":
+        return expand(data[1:], np.float64)
+    cut = 9 + int.from_bytes(data[1:9], "little")
+    return expand(data[9:cut], np.float64)[expand(data[cut:], np.uint32)]
+
+
 def batch_of(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(names)
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -6,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstone.llm import media, packing
+from quillstone.llm import media, packing, registry
 from quillstone.llm.chat import format_chats
 from quillstone.llm.decontaminate import contamination
 from test_dedup import ODD_ROWS, SCHEMA
@@ -107,6 +108,53 @@ def test_wav_round_trip_and_tensors(spark):
     assert media.audio_features(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def _frames(payload, spec):
+    """Log-mel energies by the definitions: direct convolution, one discrete Fourier sum a frame."""
+    x = (np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128
+    h = media._lowpass(spec.up, spec.down, spec.taps).astype(np.float64)
+    half = len(h) // 2
+    y = np.array([sum(x[m] * h[k * spec.down - m + half] for m in range(max(0, k * spec.down - half), min(len(x), k * spec.down + half + 1))) for k in range(-(-len(x) // spec.down))])
+    n = max(1, 1 + -(-(len(y) - spec.frame) // spec.hop))
+    y = np.concatenate((y, np.zeros(max(0, (n - 1) * spec.hop + spec.frame - len(y)))))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(spec.fft // 2 + 1), np.arange(spec.frame)) / spec.fft)
+    top = 2595 * np.log10(1 + spec.rate * spec.up / spec.down / 2 / 700)
+    edge = [700 * (10 ** (top * k / (spec.mels + 1) / 2595) - 1) / (spec.rate * spec.up / spec.down) * spec.fft for k in range(spec.mels + 2)]
+    out = []
+    for f in range(n):
+        power = np.abs(wave @ (y[f * spec.hop : f * spec.hop + spec.frame] * np.hanning(spec.frame))) ** 2
+        bands = [
+            sum(p * max(0.0, min((k - edge[m]) / (edge[m + 1] - edge[m]), (edge[m + 2] - k) / (edge[m + 2] - edge[m + 1]))) for k, p in enumerate(power))
+            for m in range(spec.mels)
+        ]
+        out.append(np.log(np.array(bands) + 1e-6))
+    return np.array(out)
+
+
+def test_audio_query_against_brute_force(spark, tmp_path):
+    texts = [None, "", "plain words " * 20, "é" * 96, "ends in é", "日本語" * 70, "\U0001f600" * 48, "a" * 192, "b" * 191, "ü" + "c" * 190, "plain words " * 20]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op10_audio_features(spark, str(tmp_path)).collect()}
+    own = {r.doc_id: r for r in media.audio_features(df).collect()}
+    spec = media.AudioSpec()
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        stored = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + b"".join(
+            v.to_bytes(n, "little") for v, n in ((16, 4), (1, 2), (1, 2), (16000, 4), (16000, 4), (1, 2), (8, 2))
+        ) + b"data" + len(payload).to_bytes(4, "little") + payload
+        r = got[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-16:])
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        table = pa.ipc.open_stream(bytes(own[k].tensors)).read_all()
+        mel = np.concatenate([x.reshape(-1, 40) for x in table.column("log_mel").combine_chunks().to_numpy_ndarray()])[: own[k].frames]
+        want = _frames(payload, spec)
+        assert mel.shape == want.shape and np.abs(mel - want).max() < 0.02
+        assert r.feature == f"{own[k].frames}:{len(own[k].segments)}:{hashlib.sha256(bytes(own[k].tensors)).hexdigest()}"
+    assert got[2].feature == got[10].feature and got[0].feature == got[1].feature
+
+
 def test_resampling_against_direct_sums():
     rng = np.random.default_rng(2)
     x = rng.normal(size=77).astype(np.float32)
