@@ -37,9 +37,13 @@ def _local_best(qid: np.ndarray, pool: list, queries: np.ndarray, k: int) -> Cal
             ids = np.asarray(batch.column("doc_id"))
             score = np.round(queries @ _matrix(batch.column("embedding"), queries.shape[1]).T, DIGITS)
             own = np.array(batch.column("pool").to_pylist(), object)
-            rows = []
+            places = {name: np.flatnonzero(own == name) for name in set(pool) & set(own.tolist()) - {None}}
+            none, rows = np.zeros(0, np.int64), []
             for q, name in enumerate(pool):
-                at = np.arange(len(ids)) if name is None else np.flatnonzero(own == name)
+                at = np.arange(len(ids)) if name is None else places.get(name, none)
+                if len(at) > 4 * k:  # all that score as the k-th best does, or better
+                    least = np.partition(score[q, at], len(at) - k)[len(at) - k]
+                    at = at[score[q, at] >= least]
                 at = at[np.lexsort((ids[at], -score[q, at]))[:k]]
                 rows.append((np.full(len(at), qid[q]), ids[at], score[q, at]))
             q, d, s = (np.concatenate(x) for x in zip(*rows))

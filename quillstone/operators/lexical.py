@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,30 +32,44 @@ def corpus_size(payload: DataFrame) -> DataFrame:
     return payload.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def inverse_frequencies(payload: DataFrame, postings: DataFrame) -> DataFrame:
+def floored(frequencies: DataFrame, size: DataFrame) -> DataFrame:
     """(term, df, idf) with negative values floored at a quarter of the mean over all terms."""
-    raw = document_frequencies(postings).join(F.broadcast(corpus_size(payload)))
+    raw = frequencies.join(F.broadcast(size))
     raw = raw.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(C.BM25_EPSILON * F.col("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
-def bm25(payload: DataFrame, questions: DataFrame) -> DataFrame:
+def inverse_frequencies(payload: DataFrame, postings: DataFrame) -> DataFrame:
+    return floored(document_frequencies(postings), corpus_size(payload))
+
+
+@dataclass
+class Statistics:
+    """What BM25 needs of a corpus: postings (term, doc_id, tf, dl), terms (term, df, idf) and its size."""
+
+    postings: DataFrame
+    terms: DataFrame
+    size: DataFrame
+
+
+def statistics(payload: DataFrame) -> Statistics:
+    found = term_frequencies(payload)
+    lengths = payload.select("doc_id", F.size("tokens").alias("dl"))
+    return Statistics(found.join(lengths, "doc_id").select("term", "doc_id", "tf", "dl"), inverse_frequencies(payload, found), corpus_size(payload))
+
+
+def bm25(corpus: DataFrame | Statistics, questions: DataFrame) -> DataFrame:
     """(qid, doc_id, score) of documents that share a term with a question (qid, text); statistics are global.
 
-    Repeated question terms count repeatedly, unknown ones not at all. Only postings of question
-    terms are joined; the statistics need every term and are best kept as tables.
+    ``corpus`` is a payload or its statistics; a stored index reads them from tables sorted by term. Repeated
+    question terms count repeatedly, unknown ones not at all. Question terms come first, so that only their postings are joined.
     """
+    own = corpus if isinstance(corpus, Statistics) else statistics(corpus)
     asked = questions.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = term_frequencies(payload)
-    idf = inverse_frequencies(payload, postings)
-    lengths = payload.select("doc_id", F.size("tokens").alias("dl"))
     k1, b = C.BM25_K1, C.BM25_B
-    hits = (
-        postings.join(idf.join(asked, "term").select("term", "qid", "times", "idf"), "term")
-        .join(lengths, "doc_id").join(F.broadcast(corpus_size(payload)))
-    )
+    hits = own.postings.join(own.terms.join(asked, "term").select("term", "qid", "times", "idf"), "term").join(F.broadcast(own.size))
     part = (
         F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1)
         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -61,6 +77,23 @@ def bm25(payload: DataFrame, questions: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
+def containing(docs: DataFrame, own: Statistics, passages: DataFrame) -> DataFrame:
+    """(qid, doc_id, at): documents (doc_id, text) that hold a passage (qid, text) word for word, and where first.
+
+    A passage's inner tokens stand whole in such a document: postings of the rarest one propose it, and its
+    text decides. Passages of fewer than three tokens have no inner one and are looked for in every document.
+    """
+    parts = passages.select("qid", F.col("text").alias("passage"), tokens(F.col("text")).alias("ts"))
+    inner = parts.where(F.size("ts") >= 3).select("qid", F.explode(F.array_distinct(F.slice("ts", F.lit(2), F.size("ts") - 2))).alias("term"))
+    known = inner.join(own.terms.select("term", "df"), "term", "left")
+    rarest = known.groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("m")).select("qid", "m.term")
+    proposed = own.postings.select("term", "doc_id").join(rarest, "term").select("qid", "doc_id")
+    near = proposed.join(docs, "doc_id").join(parts.select("qid", "passage"), "qid").where(F.contains("text", F.col("passage")))
+    short = docs.join(F.broadcast(parts.where(F.size("ts") < 3).select("qid", "passage")), F.contains("text", F.col("passage")))
+    columns = ("qid", "doc_id", F.instr("text", F.col("passage")).alias("at"))
+    return near.select(*columns).unionByName(short.select(*columns))
+
+
 def best(scores: DataFrame, k: int, *by: str) -> DataFrame:
     """Rank 1..k of (*by, doc_id, score): higher scores first, ties to the smaller id."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "doc_id")

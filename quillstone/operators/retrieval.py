@@ -59,16 +59,20 @@ def fuse(routes: DataFrame, by: list[str], k: int, rrf_k: int = C.RRF_K, tie: st
 
 
 class HybridIndex:
-    """Documents with vectors: (doc_id, text, code, embedding), and everything asked of them."""
+    """Documents (doc_id, text, code, embedding) and everything asked of them.
 
-    def __init__(self, corpus: DataFrame):
+    A document without a vector is in the lexical route only. ``statistics`` may come from a stored index.
+    """
+
+    def __init__(self, corpus: DataFrame, statistics: lexical.Statistics | None = None):
         self.corpus = corpus
-        self.payload = lexical.tokenised(corpus)
+        self.vectors = corpus.where("embedding is not null").select("doc_id", "code", "embedding")
+        self.statistics = statistics or lexical.statistics(lexical.tokenised(corpus))
         self.codes = corpus.select("doc_id", "code")
 
     def scores(self, questions: DataFrame) -> DataFrame:
         """BM25 of (qid, text), with each document's code."""
-        return lexical.bm25(self.payload, questions.select("qid", "text")).join(self.codes, "doc_id")
+        return lexical.bm25(self.statistics, questions.select("qid", "text")).join(self.codes, "doc_id")
 
     def routes(self, questions: DataFrame, mode: str, top: int, rounds: tuple[str, ...] = ("global",)) -> DataFrame:
         """(qid, round, route, doc_id, rank, vec_score, bm_score) of candidates.
@@ -82,7 +86,7 @@ class HybridIndex:
         for name in rounds:
             asked = questions if name == "global" else questions.where("code is not null")
             if mode in ("vector", "hybrid"):
-                near = dense.vector_topk(self.corpus, asked, depth, None if name == "global" else "code")
+                near = dense.vector_topk(self.vectors, asked, depth, None if name == "global" else "code")
                 found.append(near.select("qid", F.lit(name).alias("round"), F.lit("vector").alias("route"), "doc_id", "rank"))
             if mode in ("bm25", "hybrid"):
                 if name == "global":
@@ -99,12 +103,12 @@ class HybridIndex:
             routes = routes.unionByName(part)
         pairs = routes.select("qid", "doc_id").distinct()
         near = (
-            pairs.join(self.corpus.select("doc_id", "embedding"), "doc_id")
+            pairs.join(self.vectors.select("doc_id", "embedding"), "doc_id")
             .join(questions.select("qid", F.col("embedding").alias("asked")), "qid")
             .select("qid", "doc_id", F.round(dense.dot("embedding", "asked"), lexical.DIGITS).alias("vec_score"))
         )
         lexic = scored.select("qid", "doc_id", F.col("score").alias("bm_score"))
-        return routes.join(near, ["qid", "doc_id"]).join(lexic, ["qid", "doc_id"], "left").fillna(0.0, ["bm_score"])
+        return routes.join(near, ["qid", "doc_id"], "left").join(lexic, ["qid", "doc_id"], "left").fillna(0.0, ["bm_score"])
 
     def search(self, questions: DataFrame, mode: str = "hybrid", top: int = C.TOP, rrf_k: int = C.RRF_K) -> DataFrame:
         """One global round: (qid, place, doc_id, vec_rank, bm_rank, rrf, vec_score, bm_score)."""

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import constants as C
 from quillstone.functions import text as T
-from quillstone.operators import acquire, answering, chunking, layout, quality, sections
+from quillstone.operators import acquire, answering, chunking, layout, pages, quality, sections
 from quillstone.sources import table
+from quillstone.sources.shared import shared_dir
 from quillstone.streaming import ingest
 
 TARGET, OVERLAP = 1200, 150
@@ -173,9 +174,40 @@ def rotated_boxes(spark, sf):
 
 
 def two_columns(spark, sf):
-    wide = _boxes(spark, sf).select("doc", "page", "x0", "y0", (F.col("x0") + 150).alias("x1"), "y1").withColumn("x0", F.when(F.col("x0") < 250, 0.0).otherwise(400.0))
-    wide = wide.withColumn("x1", F.col("x0") + 150)
-    return layout.two_columns(wide).select("page", "multicol")
+    """Blocks in two halves; a page of 1,400 has all of them on its left."""
+    boxes = _boxes(spark, sf)
+    wide = boxes.where("id % 10 != 0").withColumn("x0", F.when(F.col("x0") < 250, 0.0).otherwise(400.0)).withColumn("x1", F.col("x0") + 150)
+    pages = boxes.select("doc", "page").distinct().withColumn("page_width", F.when(F.col("page") % 3 == 0, 1400.0).otherwise(500.0))
+    tables = boxes.where("id % 10 = 0 and id % 3 = 0").select("doc", "page", F.lit(300.0).alias("x0"), F.col("y0") - 60, F.lit(600.0).alias("x1"), F.col("y0") + 60)
+    return layout.two_columns(wide, pages, tables.toDF("doc", "page", "x0", "y0", "x1", "y1")).select("page", "multicol")
+
+
+def band_words(spark, sf):
+    """Words between the edges of boxes, by box."""
+    boxes = _boxes(spark, sf)
+    frames = boxes.where("id % 40 = 0").select("doc", "page", F.col("id").alias("box"), "y0", (F.col("y1") + 15).alias("y1"))
+    return layout.in_band(boxes, frames).select("box", "id", "page")
+
+
+def _elements(spark, sf):
+    rows = _boxes(spark, sf)
+    texts = rows.where("id % 10 != 0").select("doc", "page", F.col("id").alias("pos"), F.col("y0").alias("y"), F.when(F.col("id") % 4 == 0, F.concat("text", F.lit("\n running title "))).otherwise(F.concat(F.lit("x\n"), "text")).alias("text"))
+    number = F.col("id").cast("string")
+    cells = F.when(F.col("id") % 3 == 0, F.array(F.array(F.lit("item"), F.lit("unit")), F.array(F.lit("a"), number, number), F.array(F.lit(" "), F.lit("")), F.array(F.lit("b"), number, number)))
+    cells = cells.otherwise(F.array(F.array(F.lit("a"), number, number), F.array(F.lit("b"), number, number)))
+    tables = rows.where("id % 10 = 0").select("doc", "page", F.col("id").alias("table_id"), F.col("y0").alias("y"), cells.alias("rows"))
+    return pages.captions(pages.place_tables(texts, tables), "running title")
+
+
+def page_elements(spark, sf):
+    """Tables between the texts of their pages, with captions."""
+    return _elements(spark, sf).select("page", "ord", "kind", "y", "table_id", F.sha1("text").alias("text_sha1"), "caption")
+
+
+def page_atoms(spark, sf):
+    """Texts, table headers and table rows of all pages."""
+    found = pages.atoms(_elements(spark, sf))
+    return found.select("page", "ord", "row_index", "kind", F.sha1("text").alias("text_sha1"), "table_id", F.sha1("header").alias("header_sha1"), "is_header")
 
 
 def visual_lines(spark, sf):
@@ -280,11 +312,6 @@ def stratified_sample(spark, sf):
     return quality.stratified_sample(_docs(spark, sf).select("doc_id", "lang", "text"), "doc_id", strata, 20).select("pick", "doc_id", "lang")
 
 
-def gt_scan(spark, sf):
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return _docs(spark, sf).join(F.broadcast(items), F.expr("contains(text, passage)")).select("item_id", "doc_id", F.instr("text", F.col("passage")).alias("at"))
-
-
 def context_window(spark, sf):
     return answering.keyword_windows(_docs(spark, sf).select("doc_id", "text"), ["thing", "nicht", "ción", "avec"], 20, 30, 5)
 
@@ -309,28 +336,21 @@ def resume_anti_join(spark, sf):
 
 def stream_ingest(spark, sf):
     """Chunks made by a file stream; the same as those made in one batch."""
-    base = _shared(spark)
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs = _docs(spark, sf)
     docs.repartition(4, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
     ingest.stream_chunks(spark, f"{base}/in", docs.schema, f"{base}/out", f"{base}/state", TARGET, OVERLAP, 2)
     return spark.read.parquet(f"{base}/out").select(F.col("doc").alias("doc_id"), "chunk", "first", "past")
 
 
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}" if found else f"file://{tempfile.mkdtemp(prefix='quillstone-stream-')}"
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_windows, chunk_rows, chunk_overlap_stats, chunk_table_header, clean_text, preview, document_text, heading_flags, section_ffill,
         toc_pages, section_counts, asof_bookmark, section_method, cluster_1d, leader_rows, render_table, split_header, anti_range_filter,
-        rotated_boxes, two_columns, visual_lines, rebuild_tables, table_cascade, pick_latest_largest, title_filter_reason, strip_tags,
+        rotated_boxes, two_columns, band_words, page_elements, page_atoms, visual_lines, rebuild_tables, table_cascade, pick_latest_largest, title_filter_reason, strip_tags,
         ts_to_date, manifest_upsert, resolve_ids, unknown_codes, report_overview, method_pivot, suspicious_pages, length_median,
-        corpus_fingerprint, count_reconcile, stratified_sample, gt_scan, context_window, point_lookup, verdict_pivot, resume_anti_join,
+        corpus_fingerprint, count_reconcile, stratified_sample, context_window, point_lookup, verdict_pivot, resume_anti_join,
         stream_ingest,
     )
 }
@@ -367,6 +387,25 @@ _BOXES = r"""boxes AS (
   SELECT p_partkey AS id, regexp_extract(p_brand, '(\d+)', 1)::INT AS page, (p_partkey % 50 * 10)::DOUBLE AS x0, (p_size * 10)::DOUBLE AS y0,
     (p_partkey % 50 * 10 + 30)::DOUBLE AS x1, (p_size * 10 + 8)::DOUBLE AS y1, p_name AS text FROM part
 )"""
+_ELEMENTS = """texts AS (
+  SELECT page, id AS pos, y0 AS y, CASE WHEN id % 4 = 0 THEN text || chr(10) || ' running title ' ELSE 'x' || chr(10) || text END AS t,
+    CASE WHEN id % 4 = 0 THEN 'running title' ELSE text END AS line FROM boxes WHERE id % 10 != 0
+),
+tables AS (
+  SELECT b.page, b.id AS table_id, b.y0 AS y, min(x.pos) AS slot, CASE WHEN b.id % 3 = 0
+    THEN 'item | unit' || chr(10) || 'a | ' || b.id || ' | ' || b.id || chr(10) || '  | ' || chr(10) || 'b | ' || b.id || ' | ' || b.id
+    ELSE 'a | ' || b.id || ' | ' || b.id || chr(10) || 'b | ' || b.id || ' | ' || b.id END AS t
+  FROM boxes b LEFT JOIN texts x ON x.page = b.page AND x.y > b.y0 WHERE b.id % 10 = 0 GROUP BY ALL
+),
+every AS (
+  SELECT page, pos AS slot, 1 AS later, 'text' AS kind, y, NULL AS table_id, t, line FROM texts
+  UNION ALL SELECT page, coalesce(slot, 1000000000), 0, 'table', y, table_id, t, NULL FROM tables
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY slot, later, y, table_id) - 1 AS n FROM every),
+elements AS (
+  SELECT page, n::INT AS ord, kind, y, table_id, t,
+    CASE WHEN kind = 'table' THEN replace(coalesce(last_value(line IGNORE NULLS) OVER (PARTITION BY page ORDER BY n), ''), 'running title', '') END AS caption FROM ranked
+)"""
 _UNION_SPACE = r"[\s\x{00A0}\x{3000}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{001C}-\x{001F}]"
 _RAW = r"' ' || chr(9) || regexp_replace(text, '\. ', '.  ' || chr(9), 'g') || repeat(chr(10), 4) || '　' || chr(160) || 'x ' || chr(10)"
 _CLEAN = rf"""regexp_replace(regexp_replace(regexp_replace(replace(replace({_RAW}, '　', ' '), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'),
@@ -414,6 +453,17 @@ SELECT doc_id, n_line, 1::BIGINT AS n_book, CASE WHEN n_line >= 3 THEN 'headings
     "cluster_1d": """WITH g AS (SELECT user_id AS grp, value AS v, coalesce((value - lag(value) OVER (PARTITION BY user_id ORDER BY value) > 3)::INT, 0) AS gap FROM events),
 c AS (SELECT grp, v, sum(gap) OVER (PARTITION BY grp ORDER BY v ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM g)
 SELECT grp, cluster, round(avg(v), 6) AS mean, count(*) AS size FROM c GROUP BY ALL""",
+    "leader_rows": """WITH RECURSIVE s AS (
+  SELECT p_brand, min(p_retailprice) AS v, 1 AS k FROM part GROUP BY p_brand
+  UNION ALL SELECT n.p_brand, n.v, n.k FROM (SELECT s.p_brand, min(p_retailprice) AS v, any_value(k) + 1 AS k FROM s JOIN part p ON p.p_brand = s.p_brand AND p_retailprice > s.v + 4 GROUP BY s.p_brand) n
+)
+SELECT p_brand, max(k)::INT AS seeds FROM s GROUP BY p_brand""",
+    "visual_lines": f"""WITH RECURSIVE {_BOXES}, s AS (
+  SELECT page, min(y0) AS y FROM boxes GROUP BY page
+  UNION ALL SELECT n.page, n.y FROM (SELECT s.page, min(y0) AS y FROM s JOIN boxes b ON b.page = s.page AND b.y0 > s.y + {C.ROW_TOLERANCE} GROUP BY s.page) n
+),
+l AS (SELECT b.*, (SELECT max(s.y) FROM s WHERE s.page = b.page AND s.y <= b.y0) AS y FROM boxes b)
+SELECT page, (row_number() OVER (PARTITION BY page ORDER BY y) - 1)::INT AS ord, y, string_agg(text, ' | ' ORDER BY x0, y0, text) AS text FROM l GROUP BY page, y""",
     "render_table": f"""WITH {_TABLES} SELECT doc_id, len(rws)::INT AS n_rows, len(list_filter(flatten(rws), lambda c: c != ''))::INT AS filled,
 sha1(array_to_string(list_transform(rws, lambda r: array_to_string(r, ' | ')), chr(10))) AS table_sha1 FROM tabs""",
     "split_header": """WITH t AS (SELECT l_orderkey, list(l_returnflag != 'N' ORDER BY l_linenumber, l_partkey) AS numeric FROM lineitem GROUP BY l_orderkey)
@@ -421,10 +471,23 @@ SELECT l_orderkey, len(numeric)::INT AS n_rows, greatest(coalesce(list_position(
     "anti_range_filter": f"""WITH {_BOXES} SELECT id, page FROM boxes b WHERE id % 10 != 0 AND NOT EXISTS (
 SELECT 1 FROM boxes t WHERE t.id % 10 = 0 AND t.page = b.page AND (b.x0 + b.x1) / 2 BETWEEN t.x0 - 1 AND t.x1 + 1 AND (b.y0 + b.y1) / 2 BETWEEN t.y0 - 1 AND t.y1 + 1)""",
     "rotated_boxes": f"WITH {_BOXES} SELECT id, 500 - y1 AS x0, x0 AS y0, 500 - y0 AS x1, x1 AS y1 FROM boxes",
-    "two_columns": f"""WITH {_BOXES}, w AS (SELECT page, CASE WHEN x0 < 250 THEN 0 ELSE 400 END AS x0, y0, y1 FROM boxes),
-s AS (SELECT page, count(*) AS n, count(*) FILTER (WHERE x0 = 0) AS nl, max(y1) FILTER (WHERE x0 = 0) - min(y0) FILTER (WHERE x0 = 0) AS lh,
-  max(y1) FILTER (WHERE x0 = 400) - min(y0) FILTER (WHERE x0 = 400) AS rh FROM w GROUP BY page)
-SELECT page, coalesce(n >= 4 AND nl > 0 AND nl < n AND lh > 200 AND rh > 200, false) AS multicol FROM s""",
+    "two_columns": f"""WITH {_BOXES}, t AS (SELECT page, y0 FROM boxes WHERE id % 10 = 0 AND id % 3 = 0),
+w AS (SELECT page, CASE WHEN x0 < 250 THEN 0 ELSE 400 END AS x0, y0, y1, CASE WHEN page % 3 = 0 THEN 700 ELSE 250 END AS mid FROM boxes b WHERE id % 10 != 0
+  AND NOT EXISTS (SELECT 1 FROM t WHERE t.page = b.page AND CASE WHEN b.x0 < 250 THEN 75 ELSE 475 END BETWEEN 299 AND 601 AND (b.y0 + b.y1) / 2 BETWEEN t.y0 - 61 AND t.y0 + 61)),
+s AS (SELECT page, count(*) AS n, count(*) FILTER (WHERE x0 + 75 < mid) AS nl, max(y1) FILTER (WHERE x0 + 75 < mid) - min(y0) FILTER (WHERE x0 + 75 < mid) AS lh,
+  max(y1) FILTER (WHERE x0 + 75 >= mid) - min(y0) FILTER (WHERE x0 + 75 >= mid) AS rh FROM w GROUP BY page)
+SELECT page, coalesce(n >= 4 AND nl > 0 AND nl < n AND lh > 200 AND rh > 200, false) AS multicol FROM (SELECT DISTINCT page FROM boxes) LEFT JOIN s USING (page)""",
+    "band_words": f"""WITH {_BOXES} SELECT f.id AS box, b.id, b.page FROM boxes b JOIN boxes f ON f.page = b.page AND f.id % 40 = 0 AND b.y0 >= f.y0 - 2 AND b.y1 <= f.y1 + 17""",
+    "page_elements": f"""WITH {_BOXES}, {_ELEMENTS} SELECT page, ord, kind, y, table_id, sha1(t) AS text_sha1, caption FROM elements""",
+    "page_atoms": f"""WITH {_BOXES}, {_ELEMENTS}, parts AS (
+  SELECT page, ord, 0 AS row_index, 'text' AS kind, t, NULL AS table_id, NULL AS header, NULL AS is_header FROM elements WHERE kind = 'text'
+  UNION ALL SELECT page, ord, 0, 'table-row', 'item | unit', table_id, 'item | unit', true FROM elements WHERE table_id % 3 = 0
+  UNION ALL SELECT page, ord, k, 'table-row', x || ' | ' || table_id || ' | ' || table_id, table_id, CASE WHEN table_id % 3 = 0 THEN 'item | unit' ELSE caption END, false
+    FROM elements, (VALUES ('a', 1), ('b', 3)) v(x, k) WHERE table_id % 3 = 0
+  UNION ALL SELECT page, ord, k, 'table-row', x || ' | ' || table_id || ' | ' || table_id, table_id, caption, false
+    FROM elements, (VALUES ('a', 1), ('b', 2)) v(x, k) WHERE table_id % 3 != 0
+)
+SELECT page, ord, row_index, kind, sha1(t) AS text_sha1, table_id, sha1(header) AS header_sha1, is_header FROM parts""",
     "table_cascade": f"""WITH {_TABLES}, f AS (SELECT doc_id, rws, list_transform(rws, lambda r: r[1:2]) AS found FROM tabs),
 g AS (SELECT *, len(list_filter(flatten(rws), lambda c: c != '')) AS nr, len(list_filter(flatten(found), lambda c: c != '')) AS nf FROM f)
 SELECT doc_id, CASE WHEN doc_id % 10 / 10.0 >= 0.55 THEN 'grid' WHEN nr > nf THEN 'rebuilt' ELSE 'grid-narrow' END AS method,
@@ -458,7 +521,6 @@ p AS (SELECT *, draw = (SELECT min(draw) FROM d WHERE a) AS first FROM d),
 q AS (SELECT *, CASE WHEN first THEN 0 WHEN draw = (SELECT min(draw) FROM p WHERE b AND NOT first) THEN 1 ELSE 2 END AS level FROM p),
 r AS (SELECT row_number() OVER (ORDER BY level, draw)::INT AS pick, doc_id, lang FROM q)
 SELECT * FROM r WHERE pick <= 20""",
-    "gt_scan": "SELECT item_id, doc_id, instr(d.text, b.text)::INT AS at FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "context_window": """WITH k AS (SELECT unnest(['thing', 'nicht', 'ción', 'avec']) AS keyword),
 f AS (SELECT keyword, doc_id, text, instr(text, keyword) AS spot, row_number() OVER (PARTITION BY keyword ORDER BY doc_id) AS n FROM documents JOIN k ON contains(text, keyword))
 SELECT keyword, n::INT AS n, doc_id, substring(text, greatest(spot - 20, 1), spot - greatest(spot - 20, 1) + length(keyword) + 30) AS context FROM f WHERE n <= 5""",

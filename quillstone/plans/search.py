@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import citation, tokens
-from quillstone.operators import answering, dense, lexical, retrieval
+from quillstone.operators import answering, dense, index, lexical, retrieval
 from quillstone.sources import table
+from quillstone.sources.shared import file_state, shared_dir
 
 #: The catalog of the test data: sources are the entities.
 ENTITIES = [(f"src{k}", f"Source {k}", [f"source number {k}", f"s-{k}"]) for k in range(20)]
@@ -38,9 +41,19 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return q.withColumn("code", retrieval.detect_entity(F.col("text"), ENTITIES)["code"])
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, sf: str) -> retrieval.HybridIndex:
-    docs = _docs(spark, sf).select("doc_id", "text", F.col("source").alias("code"))
-    return retrieval.HybridIndex(docs.join(_vectors(spark, sf).select("doc_id", "embedding"), "doc_id"))
+    """The index of all documents, stored in the shared folder once for a state of its tables."""
+    state = tuple(file_state(spark, f"{sf}/{name}.parquet") for name in ("documents", "embeddings"))
+    key = (spark.sparkContext.applicationId, sf, state)
+    if key not in _STORED:
+        docs = _docs(spark, sf).select("doc_id", "text", F.col("source").alias("code"))
+        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        index.build(docs.join(_vectors(spark, sf).select("doc_id", "embedding"), "doc_id", "left"), folder)
+        _STORED[key] = folder
+    return index.load(spark, _STORED[key])
 
 
 def tokens_per_doc(spark, sf):
@@ -52,19 +65,18 @@ def doc_freq(spark, sf):
 
 
 def idf_floor(spark, sf):
-    payload = lexical.tokenised(_docs(spark, sf))
-    return lexical.inverse_frequencies(payload, lexical.term_frequencies(payload)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf).statistics.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_scores(spark, sf):
     docs = _docs(spark, sf)
-    scored = lexical.bm25(lexical.tokenised(docs), _one(spark, sf))
+    scored = lexical.bm25(_index(spark, sf).statistics, _one(spark, sf))
     return docs.select("doc_id").join(scored, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def _bm25_best(spark, sf, questions, k):
     docs = _docs(spark, sf)
-    scored = lexical.bm25(lexical.tokenised(docs), questions)
+    scored = lexical.bm25(_index(spark, sf).statistics, questions)
     first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
     return lexical.padded_best(scored, questions.select("qid").join(F.broadcast(first)), k, "qid")
 
@@ -144,18 +156,18 @@ def two_round_retrieve(spark, sf):
 
 
 def company_pool_topk(spark, sf):
-    index = _index(spark, sf)
-    routes = index.routes(_asked(spark, sf), "hybrid", 6, ("company",))
+    stored = _index(spark, sf)
+    routes = stored.routes(_asked(spark, sf), "hybrid", 6, ("company",))
     return retrieval.fuse(routes, ["qid"], 6).select("qid", "place", "doc_id", "vec_rank", "bm_rank")
 
 
 def ablation_grid(spark, sf):
     """Hits of the question's source among the best six, for every mode with and without the company round."""
-    asked, index = _asked(spark, sf), _index(spark, sf)
+    asked, stored = _asked(spark, sf), _index(spark, sf)
     out = None
     for mode in retrieval.MODES:
         for own in (True, False):
-            hits = index.retrieve(asked, mode, company_filter=own).join(index.codes, "doc_id")
+            hits = stored.retrieve(asked, mode, company_filter=own).join(stored.codes, "doc_id")
             counted = hits.join(asked.select("qid", F.col("code").alias("target")).where("target is not null"), "qid").groupBy("qid").agg(
                 F.count_if(F.col("code") == F.col("target")).alias("n_hit")
             ).select(F.lit(mode).alias("mode"), F.lit(own).alias("company_filter"), "qid", "n_hit")
@@ -193,10 +205,10 @@ def build_prompt(spark, sf):
 
 
 def _evaluated(spark, sf):
-    asked, index = _asked(spark, sf), _index(spark, sf)
+    asked, stored = _asked(spark, sf), _index(spark, sf)
     out = None
     for name, mode, own in (("vector", "vector", False), ("bm25", "bm25", False), ("hybrid+company", "hybrid", True)):
-        hits = index.retrieve(asked, mode, company_filter=own).join(index.codes, "doc_id").select("qid", F.lit(name).alias("config"), "place", "code")
+        hits = stored.retrieve(asked, mode, company_filter=own).join(stored.codes, "doc_id").select("qid", F.lit(name).alias("config"), "place", "code")
         out = hits if out is None else out.unionByName(hits)
     return answering.evaluate_hits(out, asked.select("qid", F.col("code").alias("target")))
 
@@ -212,11 +224,19 @@ def eval_summary(spark, sf):
 def known_item_recall(spark, sf):
     """For each question found word for word in some document: is one of these among BM25's best ten?"""
     best = _bm25_best(spark, sf, _questions(spark, sf), 10).select("qid", "doc_id")
-    truth = _questions(spark, sf).join(_docs(spark, sf).select("doc_id", F.col("text").alias("body")), F.expr("contains(body, text)")).select("qid", "doc_id")
+    stored = _index(spark, sf)
+    truth = lexical.containing(stored.corpus.select("doc_id", "text"), stored.statistics, _questions(spark, sf)).select("qid", "doc_id")
     hit = truth.join(best.withColumn("hit", F.lit(1)), ["qid", "doc_id"], "left")
     return hit.groupBy("qid").agg(F.count(F.lit(1)).alias("truths"), (F.max(F.coalesce("hit", F.lit(0))) == 1).alias("found"))
 
 
+def gt_scan(spark, sf):
+    """Where documents hold a benchmark passage word for word."""
+    stored = _index(spark, sf)
+    found = lexical.containing(stored.corpus.select("doc_id", "text"), stored.statistics, _questions(spark, sf))
+    return found.select(F.col("qid").alias("item_id"), "doc_id", "at")
+
+
 QUERIES = {
     "tokens_per_doc": tokens_per_doc, "doc_freq": doc_freq, "idf_floor": idf_floor, "bm25_scores": bm25_scores, "bm25_top10": bm25_top10,
     "bm25_batch_topk": bm25_batch_topk, "vector_norms": vector_norms, "vector_topk": vector_topk, "vector_batch_topk": vector_batch_topk,
@@ -224,7 +244,7 @@ QUERIES = {
     "mode_vector_only": _search("vector"), "rrf_k_sweep": rrf_k_sweep, "mode_diff": mode_diff, "detect_entity": detect_entity,
     "expand_query": expand_query, "two_round_retrieve": two_round_retrieve, "company_pool_topk": company_pool_topk,
     "ablation_grid": ablation_grid, "cite_format": cite_format, "build_context": build_context, "build_prompt": build_prompt,
-    "eval_hits": eval_hits, "eval_summary": eval_summary, "known_item_recall": known_item_recall,
+    "eval_hits": eval_hits, "eval_summary": eval_summary, "known_item_recall": known_item_recall, "gt_scan": gt_scan,
 }
 
 _TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
@@ -249,7 +269,7 @@ _QS = "qs AS (SELECT item_id AS qid, text FROM benchmark)"
 _ENTITY = "coalesce(" + ", ".join(f"CASE WHEN contains(text, 'src{k}') THEN 'src{k}' END" for k in range(20)) + ")"
 #: Everything that hybrid queries share: corpus, questions, both scores of all pairs, both routes in both rounds.
 _HYBRID = f"""
-corpus AS (SELECT doc_id, text, source AS code, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON doc_id = vec_id),
+corpus AS (SELECT doc_id, text, source AS code, embedding::DOUBLE[] AS e FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
 asked0 AS (
   SELECT item_id AS qid, text || CASE WHEN item_id % 4 != 0 THEN ' src' || (item_id % 20) ELSE '' END AS text, embedding::DOUBLE[] AS e
   FROM benchmark JOIN embeddings ON item_id = vec_id
@@ -264,7 +284,7 @@ both_pools AS (
   SELECT *, 'global' AS round FROM pairs UNION ALL SELECT *, 'company' AS round FROM pairs WHERE code = target
 ),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY qid, round ORDER BY v DESC, doc_id) AS vr,
+  SELECT *, CASE WHEN v IS NOT NULL THEN row_number() OVER (PARTITION BY qid, round ORDER BY v DESC NULLS LAST, doc_id) END AS vr,
     row_number() OVER (PARTITION BY qid, round ORDER BY b DESC, doc_id) AS br FROM both_pools
 )"""
 
@@ -276,7 +296,7 @@ def _fused(mode: str, depth: int, rounds: str, k: int = 60, name: str = "fused",
     tie = "b" if mode == "bm25" else "v"
     return f"""{name} AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY qid, round ORDER BY rrf DESC, {tie} DESC, vec_rank ASC NULLS LAST, bm_rank ASC NULLS LAST, doc_id) AS place
+    SELECT *, row_number() OVER (PARTITION BY qid, round ORDER BY rrf DESC, {tie} DESC NULLS LAST, vec_rank ASC NULLS LAST, bm_rank ASC NULLS LAST, doc_id) AS place
     FROM (
       SELECT *, round(coalesce(1.0 / ({k} + vec_rank), 0) + coalesce(1.0 / ({k} + bm_rank), 0), 9) AS rrf
       FROM (SELECT qid, doc_id, code, target, round, v, b, {vr} AS vec_rank, {br} AS bm_rank FROM ranked WHERE round IN ({rounds}))
@@ -368,7 +388,10 @@ def _ablation_sql() -> str:
 ORACLES = {
     "tokens_per_doc": f"SELECT doc_id, len({_TOKENS})::BIGINT AS n_tokens FROM documents",
     "doc_freq": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term",
-    "idf_floor": f"WITH {_QS}, {_bm25_sql('documents', 'qs')} SELECT t AS term, df, round(idf, 6) AS idf FROM idf",
+    "idf_floor": f"""WITH df AS (SELECT t, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS t FROM documents) GROUP BY t),
+raw AS (SELECT t, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS r FROM df)
+SELECT t AS term, df, round(CASE WHEN r >= 0 THEN r ELSE 0.25 * avg(r) OVER () END, 6) AS idf FROM raw""",
+    "gt_scan": "SELECT item_id, doc_id, instr(d.text, b.text)::INT AS at FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "bm25_scores": f"""WITH {_QS}, one AS (SELECT * FROM qs WHERE qid = 2), {_bm25_sql("documents", "one")}
 SELECT d.doc_id, coalesce(s, 0.0) AS score FROM documents d LEFT JOIN score USING (doc_id)""",
     "bm25_top10": _bm25_best_sql("qid = 2", "doc_id, score, rank"),
@@ -385,10 +408,10 @@ m AS (
   SELECT k, qid, doc_id, v, vr, round(coalesce(CASE WHEN vr <= 10 THEN 1.0 / (k + vr) END, 0) + coalesce(CASE WHEN br <= 10 THEN 1.0 / (k + br) END, 0), 9) AS rrf
   FROM ranked, ks WHERE round = 'global' AND (vr <= 10 OR br <= 10)
 ),
-p AS (SELECT *, row_number() OVER (PARTITION BY k, qid ORDER BY rrf DESC, v DESC, CASE WHEN vr <= 10 THEN vr END ASC NULLS LAST, doc_id) AS place FROM m)
+p AS (SELECT *, row_number() OVER (PARTITION BY k, qid ORDER BY rrf DESC, v DESC NULLS LAST, CASE WHEN vr <= 10 THEN vr END ASC NULLS LAST, doc_id) AS place FROM m)
 SELECT k, qid, place, doc_id, rrf FROM p WHERE place <= 6""",
     "mode_diff": f"""WITH {_HYBRID} SELECT qid, doc_id, CASE WHEN vr <= 6 THEN 'vector' ELSE 'bm25' END AS only
-FROM ranked WHERE round = 'global' AND (vr <= 6) != (br <= 6)""",
+FROM ranked WHERE round = 'global' AND coalesce(vr <= 6, false) != (br <= 6)""",
     "detect_entity": f"WITH {_HYBRID} SELECT qid, code, 'Source ' || substr(code, 4) AS name FROM asked",
     "expand_query": f"""WITH x AS (SELECT item_id AS qid, text, {_EXPAND} AS added FROM benchmark)
 SELECT qid, added, CASE WHEN added = '' THEN text ELSE text || '（' || replace(added, ',', '、') || '）' END AS expanded FROM x""",

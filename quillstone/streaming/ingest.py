@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillstone.operators.chunking import chunk_windows, line_atoms
+from quillstone.sources.shared import exists
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -29,14 +30,18 @@ def stream_chunks(
 ) -> None:
     """Chunk every Parquet file that appears under ``source`` into ``out``, as far as there are any, and stop.
 
-    Each micro-batch drops documents that already have chunks and writes a folder of its own, so a
-    batch that is run again after a failure replaces what it wrote.
+    Each micro-batch drops documents that earlier batches have written chunks of, and of several texts under
+    one id in a batch takes the least. It writes a folder of its own, so a batch that is run again after a failure replaces what it wrote.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        chunks = chunk_batch(batch.dropDuplicates(["doc_id"]), target, overlap)
-        chunks.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        own = batch.sparkSession
+        fresh = batch.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+        if exists(own, out):
+            done = own.read.parquet(out).where(F.col("batch") < number)
+            fresh = pending(fresh, done.withColumnRenamed("doc", "doc_id"))
+        chunk_batch(fresh, target, overlap).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
         stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

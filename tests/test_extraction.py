@@ -1,10 +1,10 @@
 import random
 
-import pandas as pd
 from pyspark.sql import functions as F
 
+from quillstone.functions import constants as C
 from quillstone.functions import text as T
-from quillstone.operators import acquire, chunking, layout, quality, sections
+from quillstone.operators import acquire, chunking, layout, pages, quality, sections
 
 
 def _windows(spark, costs, target=1200, overlap=150):
@@ -94,11 +94,83 @@ def test_visual_lines(spark):
     assert [r.text for r in got.collect()] == ["a | b", "c"]
 
 
-def test_rebuilt_table():
+WORDS = "doc string, page int, x0 double, y0 double, x1 double, y1 double, text string"
+
+
+def _rebuilt(spark, pages):
+    rows = [(d, 1, *map(float, w[:4]), w[4]) for d, words in pages.items() for w in words]
+    return {r.doc: r.rows for r in layout.rebuild_tables(spark.createDataFrame(rows, WORDS)).collect()}
+
+
+def test_rebuilt_table(spark):
     words = [(0, 0, 30, 8, "Net"), (60, 0, 90, 8, "1,200"), (120, 0, 150, 8, "3.5%"), (0, 20, 40, 28, "wrapped"), (0, 40, 30, 48, "label"), (65, 40, 91, 48, "7")]
-    got = layout.rebuild(pd.DataFrame(words, columns=["x0", "y0", "x1", "y1", "text"]))
-    assert got == [["Net", "1,200", "3.5%"], ["wrappedlabel", "7", ""]]
-    assert layout.rebuild(pd.DataFrame([(0, 0, 5, 5, "x")], columns=["x0", "y0", "x1", "y1", "text"])) is None
+    below = [*words, (0, 60, 30, 68, "below")]
+    got = _rebuilt(spark, {"a": words, "b": [(0, 0, 5, 5, "x")], "c": below, "d": words[:3]})
+    assert got["a"] == [["Net", "1,200", "3.5%"], ["wrappedlabel", "7", ""]]
+    assert got["c"] == [["Net", "1,200", "3.5%"], ["wrappedlabelbelow", "7", ""]]
+    assert got["b"] is None and got["d"] is None
+
+
+def _expected(words):
+    """Every word is marked with its row's seed and its column, then rows are read from the top."""
+    ends = sorted(w[2] for w in words if w[4].isdigit())
+    starts = [k for k, x in enumerate(ends) if not k or x - ends[k - 1] > C.COLUMN_TOLERANCE] + [len(ends)]
+    means = [sum(ends[i:j]) / (j - i) for i, j in zip(starts, starts[1:])]
+    seed, seeds = None, {}
+    for cy in sorted((w[1] + w[3]) / 2 for w in words):
+        seed = cy if seed is None or cy - seed > C.ROW_TOLERANCE else seed
+        seeds[cy] = seed
+    table = {}
+    for x0, y0, x1, y1, text in sorted(words):
+        near = [k + 1 for k, m in enumerate(means) if abs(m - x1) <= C.COLUMN_TOLERANCE]
+        table.setdefault(seeds[(y0 + y1) / 2], {}).setdefault(near[0] if near else 0, []).append(text)
+    out, label = [], ""
+    for _, own in sorted(table.items()):
+        label += " ".join(own.get(0, []))
+        if set(own) - {0}:
+            out.append([label, *(" ".join(own.get(k + 1, [])) for k in range(len(means)))])
+            label = ""
+    if label and out:
+        out[-1][0] += label
+    return out if len(out) > 1 else None
+
+
+def test_rebuilt_tables_against_brute_force(spark):
+    rng = random.Random(11)
+    pages = {}
+    for page in range(40):
+        words = {}
+        for y in range(rng.randint(1, 7)):
+            top = 12 * y
+            for x in range(rng.randint(1, 4)):
+                left, drift = 70 * x, rng.choice([0, 1])
+                number = x and rng.random() < 0.8
+                words[left + drift, top + drift] = (left + drift, top + drift, left + 40 + drift, top + drift + 8, str(rng.randint(1, 99)) if number else f"w{rng.randint(1, 9)}")
+        pages[f"p{page}"] = list(words.values())
+    want = {d: _expected(w) for d, w in pages.items()}
+    assert _rebuilt(spark, pages) == want and sum(v is not None for v in want.values()) > 20
+
+
+def test_two_columns_by_the_middle_of_the_page(spark):
+    sides = [(x, y) for x in (0.0, 300.0) for y in (0.0, 150.0, 300.0)]
+    blocks = spark.createDataFrame([("d", p, x, y, x + 150, y + 20) for p in (1, 2, 3) for x, y in sides], "doc string, page int, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([("d", 1, 500.0), ("d", 2, 1000.0), ("d", 3, 500.0), ("d", 4, 500.0)], "doc string, page int, page_width double")
+    tables = spark.createDataFrame([("d", 3, 290.0, -5.0, 460.0, 330.0)], blocks.schema)
+    assert {r.page: r.multicol for r in layout.two_columns(blocks, pages, tables).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_elements_of_a_page(spark):
+    texts = spark.createDataFrame([("d", 1, 0, 10.0, "intro\n 2.2 Debts "), ("d", 1, 1, 50.0, "after"), ("d", 1, 2, 30.0, "odd\nHalf-year report")], "doc string, page int, pos int, y double, text string")
+    tables = spark.createDataFrame([("d", 1, 1, 20.0, [["1", "2"], [" ", ""], ["3", "4"]]), ("d", 1, 2, 90.0, [["a", "b"], ["c", "1", "2"]]), ("e", 1, 1, 5.0, [["1", "2"]])], "doc string, page int, table_id int, y double, rows array<array<string>>")
+    found = pages.captions(pages.place_tables(texts, tables), "report$")
+    assert [(r.doc, r.kind, r.table_id, r.caption) for r in found.orderBy("doc", "ord").collect()] == [
+        ("d", "text", None, None), ("d", "table", 1, "2.2 Debts"), ("d", "text", None, None), ("d", "text", None, None), ("d", "table", 2, ""), ("e", "table", 1, ""),
+    ]
+    got = [(r.doc, r.ord, r.row_index, r.text, r.header, r.is_header) for r in pages.atoms(found).where("kind != 'text'").orderBy("doc", "ord", "row_index").collect()]
+    assert got == [
+        ("d", 1, 1, "1 | 2", "2.2 Debts", False), ("d", 1, 3, "3 | 4", "2.2 Debts", False),
+        ("d", 4, 0, "a | b", "a | b", True), ("d", 4, 1, "c | 1 | 2", "a | b", False), ("e", 0, 1, "1 | 2", "", False),
+    ]
 
 
 def test_suspicious_and_median(spark):

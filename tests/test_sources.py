@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import answering
 from quillstone.sources import announcements, files
+from quillstone.streaming import ingest
 
 
 def fetch(code, page, size):
@@ -49,3 +50,14 @@ def test_generator_failure_keeps_the_row(spark):
     df = spark.createDataFrame([(1, "p")], "qid int, prompt string")
     r = answering.generate(df, broken).first()
     assert r.qid == 1 and r.answer is None and "no model" in r.generation_error
+
+
+def test_stream_takes_a_document_once(spark, tmp_path):
+    base, schema = str(tmp_path), "doc_id long, text string"
+    run = lambda: ingest.stream_chunks(spark, f"{base}/in", spark.createDataFrame([], schema).schema, f"{base}/out", f"{base}/state", 10, 3)
+    spark.createDataFrame([(1, "a line"), (1, "a"), (2, "other")], schema).coalesce(1).write.parquet(f"{base}/in")
+    run()
+    spark.createDataFrame([(1, "a later text\nof two lines"), (3, "new"), (None, "x")], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    run()
+    got = sorted((r.doc, r.chunk, r.batch) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [(1, 1, 0), (2, 1, 0), (3, 1, 1)]
