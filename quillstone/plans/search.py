@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import constants as C
 from quillstone.functions.text import citation, tokens
 from quillstone.operators import answering, dense, index, lexical, retrieval
 from quillstone.sources import table
@@ -422,6 +423,15 @@ SELECT qid, final AS place, doc_id, rounds, round AS source, vec_rank, bm_rank,
     "cite_format": """SELECT doc_id, source || ' · ' || lang || ' · p' || (doc_id % 7 + 1)
   || CASE WHEN doc_id % 2 = 1 THEN '-' || (doc_id % 7 + 2) ELSE '' END AS cite FROM documents""",
     "build_context": f"WITH {_HITS_SQL} SELECT qid, n_hits, sha1(context) AS context_sha1, length(context)::INT AS chars FROM context",
+    "build_prompt": f"""WITH {_HITS_SQL},
+q AS (SELECT item_id AS qid, text, {_EXPAND} AS added FROM benchmark),
+p AS (
+  SELECT qid, '[Question] ' || text || chr(10) || chr(10) || CASE WHEN added != '' THEN '[Terms] also searched: ' || replace(added, ',', ', ') || chr(10) || chr(10) ELSE '' END
+    || '[Context] ' || n_hits || ' passages' || chr(10) || chr(10) || context AS prompt,
+    coalesce(list_filter(string_split(context, chr(10)), lambda x: x != '' AND NOT starts_with(x, '['))[1], '{C.REFUSAL}') AS answer
+  FROM context JOIN q USING (qid)
+)
+SELECT qid, sha1(prompt) AS prompt_sha1, sha1(answer) AS answer_sha1, contains(answer, '{C.REFUSAL}') AS refused FROM p""",
     "eval_hits": _eval_sql() + " SELECT * FROM evals",
     "eval_summary": _eval_sql() + """ SELECT config, round(avg(n_hit), 6) AS mean_hits, round(avg(top1_ok::INT), 6) AS first_rate,
 count(*) AS questions FROM evals WHERE n_hit IS NOT NULL GROUP BY config""",
