@@ -44,5 +44,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             scratch.drop(current)
         source = current = nxt
         if mark == seen or not mark[0]:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out.scratch_path = current.scratch_path
+            return out
         seen = mark

@@ -26,6 +26,8 @@ from quillstone.llm.scratch import Scratch, quoted
 U64 = np.uint64
 BITS = 20
 STAGED = 4
+#: Distinct words of all windows that are counted together.
+MOST_WORDS = 2_000_000
 
 
 def member(sorted_values: np.ndarray, bitmap: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,14 +225,16 @@ def contamination(
     )
     n_blocks = max(1, -(-windows.count() // block_windows))
     texts = current.select(text.alias("text"))
+    # One scan counts the words of all windows, as long as they fit in the bound; beyond it, each block's own are counted.
+    every = windows.select(F.explode("words").alias("w")).distinct().limit(MOST_WORDS + 1).toArrow().column("w").to_numpy().view(U64)
+    often = _frequencies(texts, np.sort(every)) if 0 < len(every) <= MOST_WORDS else {}
     for block in range(n_blocks):
         own = windows.where(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == block) if n_blocks > 1 else windows
         rows = own.toArrow().combine_chunks()
         words, names = rows.column("words").combine_chunks(), rows.column("items").to_pylist()
         values, cut = np.asarray(words.values, np.int64).view(U64), np.asarray(words.offsets)
         index = Index([values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], names)
-        vocabulary = np.unique(values)
-        index.order(_frequencies(texts, vocabulary) if len(vocabulary) else {})
+        index.order(_frequencies(texts, np.unique(values)) if len(every) > MOST_WORDS else often)
         final = block == n_blocks - 1
         found = _finder(index, block > 0, final)(text, *(["found"] if block else []))
         current = current.select("row", found.alias("found"))

@@ -157,6 +157,7 @@ def deduplicate_lines(
     going = scratch.save(
         duplicate_lines(named, scratch, width=width, similarity=similarity, bands=bands, rows=rows), "going"
     )
+    scratch.sweep(going)
     keys = going.select("k1", F.col("k2").alias("second"), "component")
     found = pick(_lines(named), keys, keys.count(), "inner", "k1").where(_second() == F.col("second"))
     found = scratch.save(found.select("id", "version", "no", "component"), "copies")
@@ -164,6 +165,7 @@ def deduplicate_lines(
     stays = scratch.save(stays.select("component", F.col("stay.id").alias("i"), F.col("stay.version").alias("v"), F.col("stay.no").alias("k")), "stays")
     gone = pick(found, stays, stays.count(), "inner", "component").where("id != i or version != v or no != k")
     gone = scratch.save(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("no")).alias("gone")), "gone")
+    scratch.sweep(gone)
     size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("items")).first()
     out = pick(keyed, gone, size["n"], "left", ["id", "version"], size["items"])
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")

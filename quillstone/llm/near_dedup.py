@@ -185,6 +185,7 @@ def near_duplicates(
         links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()),
         scratch,
     )
+    scratch.sweep(sketch, every)
     out = sketch.join(every, sketch["id"] == every["node"], "left")
     component = F.coalesce("component", "id")
     return out.select(

@@ -50,6 +50,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -57,10 +58,20 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.paths.append(path)
         return out
 
+    def sweep(self, *kept: DataFrame) -> None:
+        """Delete all saved tables of this run but ``kept``, which alone are read from now on."""
+        left = {df.scratch_path for df in kept}
+        for path in [x for x in self.paths if x not in left]:
+            self._delete(path)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df.scratch_path)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths.remove(path)

@@ -186,6 +186,55 @@ def test_kneser_ney_levels_sum_to_one():
         assert abs(level.estimate(every, np.full(256, 1 / 256)).sum() - 1) < 1e-9
 
 
+def _padded_grams(text, order):
+    """The n-grams that end at each byte of a word after its opening mark, short ones behind zeros."""
+    out = []
+    for word in words_of(text.translate(LOW)):
+        own = [32, *word.encode(), 32]
+        out += [tuple([0] * max(0, order - e - 1) + own[max(0, e + 1 - order) : e + 1]) for e in range(1, len(own))]
+    return out
+
+
+class _Plain:
+    """One interpolated Kneser-Ney level over plain dictionaries."""
+
+    def __init__(self, counts):
+        self.counts, self.total, self.kinds = counts, Counter(), Counter()
+        for g, n in counts.items():
+            self.total[g[:-1]] += n
+            self.kinds[g[:-1]] += 1
+        ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+        self.d = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def p(self, g, below):
+        t = self.total[g[:-1]]
+        return (max(self.counts[g] - self.d, 0) + self.d * self.kinds[g[:-1]] * below) / t if t else below
+
+
+def test_kneser_ney_against_brute_force(spark):
+    toxic = ["you utter idiot", "such an idiotic moron", "idiots and morons"]
+    plain = ["such a lovely day", "you and the idea", "an utter delight, editors"]
+    docs = spark.createDataFrame(list(enumerate(toxic + plain)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 3)) for k in range(6)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, model_rows=1000, fit_rows=0)
+    order = toxicity.ORDER
+    grams = [Counter(g for t in texts for g in _padded_grams(t, order)) for texts in (plain, toxic)]
+    now, shared = set(grams[0]) | set(grams[1]), {}
+    for n in range(order - 1, 0, -1):
+        shared[n] = _Plain(Counter(g[-n:] for g in now))
+        now = {g[-n:] for g in now}
+    tops = [_Plain(c) for c in grams]
+    asked = _padded_grams("utterly idiotic editors x day", order)
+    want = []
+    for g in asked:
+        below = 1 / 256
+        for n in range(1, order):
+            below = shared[n].p(g[-n:], below)
+        want.append(math.log(tops[1].p(g, below) / tops[0].p(g, below)))
+    got = model.ratios(np.array([int.from_bytes(bytes(g), "big") for g in asked], np.uint64))
+    assert np.allclose(got, want) and max(want) > 1 and min(want) < -1
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(k, "you idiot moron " * 3 + f"a{k}" if k % 2 else f"kind words for you {k}", "x", "y") for k in range(60)] + ODD_ROWS, SCHEMA)
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (7, None), (8, 5)], "doc_id long, toxic int")
