@@ -127,6 +127,7 @@ def _anchor_requests(width: int, bits: int):
                     [(s, row["block"], squeeze(anchor[a:b]), squeeze(twice[a:b].astype(np.uint8))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a],
                     [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["shard", "block", "keys", "twice"],
                 )
+            tb.release()
 
     return run
 
@@ -158,7 +159,7 @@ def _window_requests(width: int, bits: int):
             for row in batch.to_pylist():
                 tb.release()
                 own = _Block(row, width)
-                own.candidates(_said(row["anchors"] or []), width)
+                own.candidates(_said(row.pop("anchors") or []), width)
                 head = own.head
                 cut = cuts(own.h1[head], bits)
                 rows = []
@@ -167,6 +168,8 @@ def _window_requests(width: int, bits: int):
                         at = head[a:b]
                         rows.append((s, row["block"], squeeze(own.h1[at]), squeeze(own.h2[at]), squeeze(own.row[at]), squeeze(own.at[at].astype(np.uint32))))
                 yield batch_of(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 4], ["shard", "block", "h1", "h2", "row", "at"])
+                del own, head, rows
+            tb.release()
 
     return run
 
@@ -185,6 +188,23 @@ def _window_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _answers(rows, said, [len(expand(r["h2"], np.uint32)) for r in rows])
 
 
+def _kept(found: tb.Words, keep: np.ndarray, a: int, b: int) -> tuple[np.ndarray, list[bytes]]:
+    """Of documents a to b of a block: how many words go, and the kept ones with one blank between."""
+    first = found.first[a : b + 1]
+    own = slice(first[0], first[-1])
+    keep, start = keep[own], found.start[own]
+    # Kept words and one blank after each, as one run of bytes.
+    size = (found.end[own] - start) * keep
+    out_at = np.concatenate(([0], np.cumsum(size + keep)))
+    source = np.repeat(start[keep] - out_at[:-1][keep], size[keep] + 1) + np.arange(out_at[-1])
+    out = found.data[np.minimum(source, max(len(found.data) - 1, 0))] if len(keep) else np.zeros(0, np.uint8)
+    out[out_at[1:][keep] - 1] = 32
+    total = np.concatenate(([0], np.cumsum(keep)))
+    raw, first = out.tobytes(), first - first[0]
+    ends = out_at[first].tolist()
+    return np.diff(first) - np.diff(total[first]), [raw[x : max(x, y - 1)] for x, y in zip(ends[:-1], ends[1:])]
+
+
 def _remover(width: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,31 +212,31 @@ def _remover(width: int, texts: bool):
                 tb.release()
                 own = _Block(row, width)
                 own.candidates(_said(row["anchors"] or []), width)
-                found, n = own.words, len(own.words.hash)
                 head = own.head[own.of] if len(own.of) else own.of
                 gone = (own.row != own.row[head]) | (own.at != own.at[head])
                 gone |= _said(row["windows"] or [])[own.of] if len(own.of) else gone
-                starts = own.starts[gone]
+                ids, known, found, starts = own.ids, own.known, own.words, own.starts[gone]
+                # The candidates' columns are many times the texts; only words are needed from here on.
+                del own, head, gone
+                n = len(found.hash)
                 change = np.bincount(starts, minlength=n + 1) - np.bincount(starts + width, minlength=n + 1)
                 keep = np.cumsum(change[:n]) == 0
-                # Kept words and one blank after each, as one run of bytes.
-                size = (found.end - found.start) * keep
-                out_at = np.concatenate(([0], np.cumsum(size + keep)))
-                source = np.repeat(found.start[keep] - out_at[:-1][keep], size[keep] + 1) + np.arange(out_at[-1])
-                out = found.data[np.minimum(source, max(len(found.data) - 1, 0))] if n else np.zeros(0, np.uint8)
-                out[out_at[1:][keep] - 1] = 32
-                total = np.concatenate(([0], np.cumsum(keep)))
-                raw, ends = out.tobytes(), out_at[found.first].tolist()
-                kept = [raw[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:])]
-                n_words = found.counts()
+                del change
+                removed, digests, kept = [], [], []
+                for a, b in tb.slices(found.offsets):
+                    gone, parts = _kept(found, keep, a, b)
+                    removed.append(gone)
+                    digests += [hashlib.sha256(t).hexdigest() for t in parts]
+                    kept += [t.decode() for t in parts] if texts else []
                 columns = {
-                    "id": pa.array(own.ids, mask=~own.known), "n_words": pa.array(n_words),
-                    "n_removed": pa.array(n_words - (total[found.first[1:]] - total[found.first[:-1]])),
-                    "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()),
+                    "id": pa.array(ids, mask=~known), "n_words": pa.array(found.counts()),
+                    "n_removed": pa.array(np.concatenate(removed)), "kept_sha256": pa.array(digests, pa.string()),
                 }
                 if texts:
-                    columns["kept_text"] = pa.array([t.decode() for t in kept], pa.string())
+                    columns["kept_text"] = pa.array(kept, pa.string())
+                del found, keep, starts
                 yield pa.record_batch(list(columns.values()), names=list(columns))
+            tb.release()
 
     return run
 
@@ -236,7 +256,7 @@ def remove_repeated_windows(
     """
     if width % 2:
         raise ValueError("width must be even")
-    scratch = Scratch(docs.sparkSession, "substring-dedup")
+    scratch = Scratch(docs.sparkSession, "substring-dedup", packed=True)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = scratch.save(
         texts.mapInArrow(_encoder, "block long, ids binary, known binary, sizes binary, texts binary"), "blocks"
