@@ -10,6 +10,7 @@ sequences and offsets; pieces find their place by their rank among pieces of the
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -26,7 +27,7 @@ from quillstone.llm import textblocks as tb
 from quillstone.llm.scratch import Scratch
 
 #: Distinct words whose ids a worker keeps, in each of two generations.
-CACHED_WORDS = 180_000
+CACHED_WORDS = 360_000
 #: Bytes of text that are encoded at a time.
 ENCODED_BYTES = 1 << 20
 
@@ -45,32 +46,46 @@ _LETTER[97:123] = True
 #: ASCII marks other than the apostrophe, which may begin a token of letters.
 _MARK = np.zeros(256, bool)
 _MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: Second bytes, after 0xC3, of capital and of small letters; 0x97 and 0xB7 are signs.
+_CAPITAL = np.zeros(256, bool)
+_CAPITAL[[*range(0x80, 0x97), *range(0x98, 0x9F)]] = True
+_SMALL = np.zeros(256, bool)
+_SMALL[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+
+#: Stretches of small letters, which the tokenizer neither changes nor parts, and its characters for their bytes.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_CHARACTERS = {**{b: 162 + b for b in range(127, 161)}, 173: 323}
 
 
 def stretched(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Texts with the same tokens but fewer distinct stretches, and their new offsets.
 
-    A-Z in lower case, and a blank between a-z and a mark: the tokenizer does the first and parts
-    tokens there anyway. Texts that may hold a special token's string or a combining mark, whose
-    composition depends on case, are left alone.
+    Letters of ASCII and Latin-1 in lower case, and a blank between such a letter and a mark: the
+    tokenizer does the first and parts tokens there anyway. Texts that may hold a special token's string
+    or a combining mark, whose composition depends on case, are left alone.
     """
     raw = data.tobytes()
     if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:
         return raw, offsets
     low = _LOWER[data]
-    cut = _LETTER[low[:-1]] & _MARK[low[1:]]
+    ends = _LETTER[low]
+    second = np.flatnonzero(low == 0xC3) + 1
+    low[second[_CAPITAL[low[second]]]] += 32
+    ends[second[_SMALL[low[second]]]] = True
+    cut = ends[:-1] & _MARK[low[1:]]
     starts = offsets[1:-1]
     cut[starts[(starts > 0) & (starts < len(low))] - 1] = False
     at = np.flatnonzero(cut) + 1
     return np.insert(low, at, 32).tobytes(), offsets + np.searchsorted(at, offsets)
 
 
-class WordIds:
+class WordIds(dict):
     """Token ids by blank-separated stretches of text.
 
     The tokenizer drops white space and merges nothing across it, so ids of a text are those of its
     stretches one after another. Stretches are encoded once while they are cached: in two
-    generations, of which the older is dropped when the younger is full.
+    generations, of which the older is dropped when the younger, this dictionary, is full. Those of small letters
+    only go to the tokenizer's model directly, past the steps that would leave them as they are.
     """
 
     def __init__(self, path: str):
@@ -80,29 +95,28 @@ class WordIds:
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are laid out for little-endian machines with 32-bit integers")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.older: dict[bytes, bytes] = {}
 
+    def __missing__(self, stretch: bytes) -> bytes:
+        ids = self.older.get(stretch)
+        if ids is None:
+            if _PLAIN(stretch):
+                letters = stretch.decode("latin-1")
+                found = [t.id for t in self.model.tokenize(letters if letters.isascii() else letters.translate(_CHARACTERS))]
+            else:
+                found = self.tokenizer.encode(stretch.decode(), add_special_tokens=False).ids
+            ids = array("I", found).tobytes()
+        self[stretch] = ids
+        return ids
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > CACHED_WORDS:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        parts = [t.split() for t in texts]
-        fresh = set().union(*parts).difference(known)
-        new = []
-        for p in fresh:
-            ids = older.get(p)
-            if ids is None:
-                new.append(p)
-            else:
-                known[p] = ids
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            known.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
-        look = known.__getitem__
-        return [b"".join(map(look, own)) for own in parts]
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        look = self.__getitem__
+        return [b"".join(map(look, t.split())) for t in texts]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -294,7 +308,8 @@ def pack(
     ``capacity`` ids, offsets are gapless from 0. Of the plans for the given ``quanta`` the one with
     the fewest sequences is used. Repeated rows and null ids are packed as rows of their own;
     other columns are ignored; an empty table gives an empty result. ``tokenizer`` is the path of a
-    file on every executor whose tokens never reach across ASCII white space.
+    file on every executor, of a tokenizer that lower-cases and whose tokens never reach across ASCII white space
+    or from a letter to a mark, as those of word_bpe_49k.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

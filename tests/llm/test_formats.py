@@ -44,6 +44,24 @@ def test_token_ids_by_stretches():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_stretches_of_letters_go_to_the_model():
+    whole = Tokenizer.from_file(PATH)
+    letters = [chr(k) for k in range(256) if chr(k).isalpha() and k not in (170, 181, 186)]
+    texts = ["".join(letters[a : a + 9]) for a in range(len(letters))] + [x + y for x in letters for y in (".", "-", "'s", "\u00d7", "\u00f7", "1", "")]
+    data, offsets = packing.tb.flat(pa.array(texts))
+    raw, own = packing.stretched(data, offsets)
+    words = packing.WordIds(PATH)
+    got = words.encode([raw[a:b] for a, b in zip(own[:-1].tolist(), own[1:].tolist())])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    # The steps before the model cost more than the model: they are for other stretches only.
+    words = packing.WordIds(PATH)
+    words.tokenizer = None
+    raw, _ = packing.stretched(*packing.tb.flat(pa.array(["Una PALABRA \u00c9t\u00e9, gr\u00f6\u00dfe"]))[:2])
+    assert raw.split() == "una palabra \u00e9t\u00e9 , gr\u00f6\u00dfe".encode().split()
+    got = np.frombuffer(words.encode([raw.replace(b",", b"")])[0], "<u4").tolist()
+    assert got == whole.encode("una palabra \u00e9t\u00e9 gr\u00f6\u00dfe", add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 9000), (None, "x"), (-4, "y"), (-4, "y")], "doc_id long, text string"))
