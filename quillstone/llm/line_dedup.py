@@ -95,10 +95,15 @@ def duplicate_lines(
     rep = F.call_function("shiftleft", scarcity.cast("long"), F.lit(57)) + F.monotonically_increasing_id()
     classes = scratch.save(line_classes(docs, width, bands, rows).select(rep.alias("rep"), "*"), "line-classes")
     kept: list[DataFrame] = []
+    named: list[DataFrame] = []
 
     def ready(reps: DataFrame) -> DataFrame:
         """(rep, n, own): a line of each class that shares a bucket, and its number of shingles."""
-        keys = scratch.save(classes.join(reps, "rep", "left_semi").select("rep", "k1", F.col("k2").alias("second")), "line-keys")
+        # From here on only these classes and those of several lines are read; the bands of all are done with.
+        near = classes.join(reps.withColumn("near", F.lit(True)), "rep", "left").where("near or lines > 1")
+        named.append(scratch.save(near.select("rep", "k1", F.col("k2").alias("second"), "lines", F.coalesce("near", F.lit(False)).alias("near")), "line-keys"))
+        scratch.drop(classes)
+        keys = named[0].where("near").select("rep", "k1", "second")
         found = pick(_lines(docs).select("k1", "line"), keys, keys.count(), "inner", "k1").where(_second() == F.col("second"))
         found = found.select("rep", "line").dropDuplicates(["rep"])
         n = F.size(F.array_distinct(shingles(F.col("line"), width))).cast("long")
@@ -116,8 +121,8 @@ def duplicate_lines(
     near = found.select(F.col("node").alias("rep"), "component").unionByName(
         found.select(F.col("component").alias("rep"), "component").distinct()
     )
-    members = classes.select("rep", "k1", "k2", "lines").join(near, "rep", "left").where("component is not null or lines > 1")
-    return members.select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    members = named[0].join(near, "rep", "left").where("component is not null or lines > 1")
+    return members.select("k1", F.col("second").alias("k2"), F.coalesce("component", "rep").alias("component"))
 
 
 def _without(text: Column, gone: str) -> Column:

@@ -112,7 +112,7 @@ def _missed(
     mixed = scratch.save(mixed.select("bucket", (F.col("many") > SMALL).alias("large")), "mixed")
     rows = scratch.save(pick(rows, mixed, mixed.count(), "inner", "bucket"), "unsettled")
     reps = scratch.save(rows.groupBy("rep", "comp").agg(F.bool_or("large").alias("large")), "reps")
-    odd = scratch.save(_sketches(sets(reps).repartition(_tasks(reps), "rep")), "sketches")
+    odd = scratch.save(_sketches(sets(reps)), "sketches")
     near = _near(rows.where("not large").select("bucket", "rep", "comp").join(odd, "rep"), percent)
     return near.unionByName(_alike_by_prefix(reps.where("large").select("rep", "comp"), sets, percent, scratch)).distinct()
 
@@ -122,7 +122,7 @@ def _tasks(reps: DataFrame) -> int:
 
 
 def _sketches(own: DataFrame) -> DataFrame:
-    """(rep, n, o0, o1, ...): size and parity sketch of each set; ``own`` is dealt by rep."""
+    """(rep, n, o0, o1, ...): size and parity sketch of each set. Elements are counted where the sets are, which are not shuffled."""
     items = own.select("rep", F.explode("own").alias("h"))
     items = items.select("rep", F.shiftright("h", 6).bitwiseAND(F.lit(ODD - 1)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     flips = [F.expr(f"coalesce(bit_xor(bit) FILTER (WHERE word = {k}), 0L)").alias(f"o{k}") for k in range(ODD)]

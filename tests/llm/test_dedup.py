@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillstone.llm import stars
 from quillstone.llm import textblocks as tb
 from quillstone.llm.components import components
 from quillstone.llm.line_dedup import bucket_keys, deduplicate_lines, least_of_bins
@@ -235,6 +236,19 @@ def test_bands_find_close_lines(spark):
     assert missed[0] < 8 and missed[1] < 8 and missed[2] < 3 and missed[3] < 8
 
 
+def test_bands_and_sets_do_not_stay_on_disk(spark, monkeypatch):
+    plans, there, real, save = [], [], stars._sketches, Scratch.save
+    monkeypatch.setattr(stars, "_sketches", lambda own: plans.append(own._jdf.queryExecution().optimizedPlan().toString()) or real(own))
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: (save(self, df, name), there.append((name, [p.rsplit("/", 1)[1].split("-")[1:] for p in self.paths])))[0])
+    line = "the quick brown fox jumps over the lazy dog, then over the sleeping cat and over the tired old horse, and then number {} comes"
+    docs = [(k, line.format(k % 7), "", "") for k in range(9)] + [(10, "alone in its class", "", ""), (11, "alone in its class", "", ""), (12, "single", "", "")]
+    got = {r.doc_id: r.n_kept for r in deduplicate_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == {0: 1, **dict.fromkeys(range(1, 9), 0), 10: 1, 11: 0, 12: 1}
+    # The bands of all classes go before pairs are met, and sets are not shuffled for their sketches.
+    assert ["line", "classes"] in dict(there)["line-keys"] and ["line", "classes"] not in [x[-2:] for x in dict(there)["sketches"]]
+    assert plans and not any("Repartition" in p for p in plans)
+
+
 def test_long_documents_lose_lines_in_linear_time(spark):
     # Templates share most shingles and are not alike: each line stays, and copies of the whole document go.
     text = "\n".join(f"line number {k * 7919} has the text of {k * 104729} others" for k in range(3000))
