@@ -79,8 +79,8 @@ def confirmed_links(
     (own, an array of longs) to a written table (rep, comp).
     """
     entries = classes.select("rep", F.explode("bands").alias("bucket"))
-    centers = entries.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"))
-    centers = scratch.save(centers.where("center != last").select("bucket", "center"), "centers")
+    centers = entries.groupBy("bucket").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("many"))
+    centers = scratch.save(centers.where("many > 1").select("bucket", "center"), "centers")
     members = scratch.save(pick(entries, centers, centers.count(), "inner", "bucket"), "members")
     scratch.drop(centers)
     sizes = ready(members.select("rep").distinct())
