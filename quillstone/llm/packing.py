@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import textblocks as tb
-from quillstone.llm.scratch import Scratch
+from quillstone.llm.scratch import Scratch, local_table
 
-#: Distinct words whose ids a worker keeps, in each of two generations.
-CACHED_WORDS = 360_000
+#: Distinct words whose ids a worker keeps, in each of two generations. With those that a megabyte of text may add
+#: they stay under 349,525, beyond which a dictionary doubles its table.
+CACHED_WORDS = 300_000
 #: Bytes of text that are encoded at a time.
 ENCODED_BYTES = 1 << 20
 
@@ -120,9 +121,11 @@ class WordIds(dict):
 
 
 _ENCODERS: dict[str, WordIds] = {}
+tb.keeps("encoders", _ENCODERS.clear)
 
 
 def encoder(path: str) -> WordIds:
+    tb.keep_only("encoders")
     if path not in _ENCODERS:
         _ENCODERS[path] = WordIds(path)
     return _ENCODERS[path]
@@ -323,8 +326,8 @@ def pack(
     plan = min((plan_packing(histogram, capacity, q) for q in quanta if capacity % q == 0), key=lambda p: p.sequences)
 
     # Ranks: a frequent length is split by a salt, so that no task gets more than about rank_rows of it.
-    salts = docs.sparkSession.createDataFrame(
-        [(r["length"], -(-r["n"] // rank_rows)) for r in counts], "length long, salts long"
+    salts = local_table(
+        docs.sparkSession, [(r["length"], -(-r["n"] // rank_rows)) for r in counts], length=pa.int64(), salts=pa.int64()
     )
     salted = pieces.join(F.broadcast(salts), "length").withColumn(
         "salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), "salts")

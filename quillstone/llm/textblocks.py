@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,15 +40,36 @@ def _inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 
 
+#: How a worker drops what tasks of one kind keep for the next of theirs.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(kind: str, drop: Callable[[], None]) -> None:
+    """Tasks of this kind keep something in their worker, which ``drop`` lets go."""
+    _KEPT[kind] = drop
+
+
+def keep_only(kind: str | None) -> None:
+    """Let go what tasks of other kinds have kept: a worker serves one stage after another and keeps for one at a time."""
+    for other, drop in _KEPT.items():
+        if other != kind:
+            drop()
+    release()
+
+
 class Powers:
     """base**i and base**-i modulo 2**64, grown on demand."""
 
     def __init__(self, seed: int):
         self.base = int(stream(seed, 1)[0]) | 1
+        self.drop()
+
+    def drop(self) -> None:
         self.up = self.down = np.ones(1, U64)
 
     def need(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
+            keep_only("powers")
             n = 1 << (n - 1).bit_length()
             up, down = np.full(n, self.base, U64), np.full(n, _inverse(self.base), U64)
             up[0] = down[0] = 1
@@ -58,6 +79,7 @@ class Powers:
 
 _BYTES = Powers(3)
 _SEQ = (Powers(5), Powers(7))
+keeps("powers", lambda: [x.drop() for x in (_BYTES, *_SEQ)])
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
